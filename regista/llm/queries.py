@@ -6,23 +6,55 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regista.llm import bpe, packing
+from regista.llm import bpe, mil_classifier, packing, quality_rules, sharding, topk
 from regista.llm.common import read
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.usable(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"))
+    return sharding.place(docs, "doc_id", [f"shard-{k:04d}" for k in range(256)])
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op8_pattern_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_maxscore_topk, op5_byte_bpe, op6_sharding, op8_pattern_packing, op9_mil_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_maxscore_topk": OP3_SQL}
