@@ -1,35 +1,17 @@
-"""Shared helpers: materialised tables in the cluster's shared folder, order-safe keys, Arrow batches."""
+"""Shared helpers: order-safe keys, Arrow batches, reading."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regista.plans.store import materialize, shared_dir  # noqa: F401
+
 #: Key given to rows whose id is null: they sort before every id, as nulls do.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="regista-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regista.llm import bpe, mil_classifier, packing, quality_rules, sharding, topk
+from regista.llm import bpe, line_dedup, mil_classifier, ngram_join, packing, pii, quality_rules, sharding, topk
 from regista.llm.common import read
 
 
@@ -16,6 +16,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+#: Secret of the surrogates; a deployment sets its own.
+PII_KEY = b"regista surrogates"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_found")
+
+
 def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.usable(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("id % 50 = 0"), 5)
@@ -44,6 +53,26 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", [f"shard-{k:04d}" for k in range(256)])
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return line_dedup.strip_runs(docs)
+
+
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b, lead(line, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM s),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS copy FROM w WHERE c IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM f WHERE copy > 1),
+x AS (SELECT s.doc_id, s.pos, s.line_no, s.pos - row_number() OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS run FROM s JOIN g ON s.doc_id = g.doc_id AND s.pos = g.pos),
+n AS (SELECT doc_id, count(*) AS n_removed, count(DISTINCT run) AS n_runs FROM x GROUP BY doc_id),
+t AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.line_no = x.line_no WHERE x.doc_id IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
+  CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -52,9 +81,13 @@ def op9_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_maxscore_topk, op5_byte_bpe, op6_sharding, op8_pattern_packing, op9_mil_quality)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii_surrogates, op3_maxscore_topk, op5_byte_bpe, op6_sharding, op7_line_dedup, op8_pattern_packing, op9_mil_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore_topk": OP3_SQL}
+    return {"op3_maxscore_topk": OP3_SQL, "op7_line_dedup": OP7_SQL}
