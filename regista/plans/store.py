@@ -17,9 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Makes Spark delete an execution's shuffle files when it ends, rather than when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and survives lost executors, and
+    the shuffles that led to it give their disk back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
