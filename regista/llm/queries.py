@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regista.llm import bpe, line_dedup, mil_classifier, ngram_join, packing, pii, quality_rules, sharding, topk
+from regista.llm import bpe, line_dedup, mil_classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, topk
 from regista.llm.common import read
 
 
@@ -43,6 +43,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -86,7 +90,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii_surrogates, op3_maxscore_topk, op5_byte_bpe, op6_sharding, op7_line_dedup, op8_pattern_packing, op9_mil_quality, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii_surrogates, op3_maxscore_topk, op4_suffix_dedup, op5_byte_bpe, op6_sharding, op7_line_dedup, op8_pattern_packing, op9_mil_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
