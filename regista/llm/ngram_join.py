@@ -33,7 +33,7 @@ from regista.operators.graph import components
 
 WORDS = 5
 #: Bounds of a verification block: shingles and documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 1 << 18, 1024
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 18, 512
 _word = re.compile(r"\w+").findall
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,7 +42,7 @@ class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return value
@@ -124,8 +124,10 @@ def adjacency(rows: list[np.ndarray], size: np.ndarray, threshold: float) -> np.
         part = np.zeros((m, min(width, len(shared) - lo)), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
         inter += part @ part.T
-    union = size[:, None] + size[None, :] - inter
-    near = inter >= threshold * union - 1e-6
+    near = np.zeros((m, m), bool)
+    for lo in range(0, m, 256):
+        part = inter[lo : lo + 256]
+        near[lo : lo + 256] = part >= threshold * (size[lo : lo + 256, None] + size[None, :] - part) - 1e-6
     np.fill_diagonal(near, False)
     return near
 
@@ -157,12 +159,12 @@ def verify(members: DataFrame, threshold: float, n: int) -> DataFrame:
             near &= block[:, None] != block[None, :]  # pairs within a block are met elsewhere
         label = np.arange(len(d))
         while True:
-            new = np.minimum(label, np.where(near, label[None, :], len(d)).min(1, initial=len(d)))
+            new = np.array([label[near[i]].min(initial=label[i]) for i in range(len(d))])
             new = new[new]
             if (new == label).all():
                 break
             label = new
-        links = near.astype(np.int64) @ copies
+        links = np.array([copies[row].sum() for row in near])
         return pa.table({"d": d, "k": k, "links": links, "root_d": d[label], "root_k": k[label]})
 
     return dealt.groupBy("comp", "lo", "hi").applyInArrow(count, "d long, k long, links long, root_d long, root_k long")
@@ -176,7 +178,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: i
 
     paths = sets.select("v", F.posexplode("sig").alias("tree", "path"))
     heads = paths.groupBy("tree", "path").agg(F.min("v").alias("head"), F.count("*").alias("m")).where("m > 1").select("tree", "path", "head")
-    met = paths.join(materialize(heads, "heads"), ["tree", "path"]).select(F.col("v").alias("src"), F.col("head").alias("dst")).where("src != dst").distinct()
+    met = paths.join(materialize(heads, "heads").hint("merge"), ["tree", "path"]).select(F.col("v").alias("src"), F.col("head").alias("dst")).where("src != dst").distinct()
     comps = materialize(components(met), "candidates")
 
     sized = comps.join(sets.select(F.col("v").alias("node"), "copies", "n"), "node")
@@ -185,7 +187,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: i
         F.col("node.d").alias("d"), F.col("node.k").alias("k"), F.col("root").alias("comp"), "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     )
     members = materialize(members, "members")
-    read = docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").join(members, ["d", "k"]).dropDuplicates(["d", "k"])
+    # merged whatever its size: a broadcast of the candidates would grow with the corpus
+    read = docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").join(members.hint("merge"), ["d", "k"]).dropDuplicates(["d", "k"])
     counted = materialize(verify(read, threshold, n), "verified")
 
     found = components(counted.select(F.struct("d", "k").alias("src"), F.struct(F.col("root_d").alias("d"), F.col("root_k").alias("k")).alias("dst")))
@@ -207,7 +210,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = classes(docs, **options)
     gone = materialize(found.where(F.col("root") != F.struct("d", "k")).select(F.col("d").alias("__d"), F.col("k").alias("__k")).distinct(), "gone")
     keyed = docs.withColumn("__d", id_key("doc_id")).withColumn("__k", doc_key())
-    kept = keyed.join(gone, ["__d", "__k"], "left_anti")
+    kept = keyed.join(gone.hint("merge"), ["__d", "__k"], "left_anti")
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\w")
     # copies that share even the id have one key; texts without words are nobody's copies
     return kept.where(worded).dropDuplicates(["__d", "__k"]).unionByName(kept.where(~worded)).select(*[f"`{c}`" for c in docs.columns])
