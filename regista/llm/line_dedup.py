@@ -38,7 +38,7 @@ def named(rows: DataFrame, *content: str) -> DataFrame:
     """(d, k, pos, name) of the rows whose content occurs at least twice; ``name`` is its first place. The aggregation
     combines before its shuffle, and the join back splits frequent contents, so no content gathers in one task."""
     first = rows.groupBy(*content).agg(F.min(F.struct(*DOC, "pos")).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = rows.join(materialize(first, "names"), list(content)).select(*DOC, "pos", "name")
+    again = rows.join(materialize(first, "names").hint("merge"), list(content)).select(*DOC, "pos", "name")
     return materialize(again.distinct(), "runs")
 
 
@@ -76,7 +76,8 @@ def strip_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     gone = materialize(removals(later_copies(docs, min_lines)), "gone")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), id_key("doc_id").alias("d"), doc_key().alias("k"))
-    joined = keyed.join(gone, DOC, "left").withColumn("lines", F.split("row.text", "\n"))
+    # merged whatever its size: a broadcast of the removals would grow with the corpus
+    joined = keyed.join(gone.hint("merge"), DOC, "left").withColumn("lines", F.split("row.text", "\n"))
     # what stands before each span, between two, and after the last
     begin = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get("spans", j - 1)["last"] + 1)
     end = lambda j: F.coalesce(F.get("spans", j)["first"], F.size("lines"))
