@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regista.plans import analytics, evidence, portfolio, reconcile, sources, state, text  # noqa: F401
+from regista.plans import analytics, evidence, grading, portfolio, reconcile, runs, sources, state, text  # noqa: F401
 from regista.plans.registry import ORACLES, QUERIES
 
 
