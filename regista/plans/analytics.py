@@ -114,17 +114,12 @@ def passage_edges(spark, sf):
 
 
 VIEW_SQL["v_reach"] = "SELECT DISTINCT a AS node, b AS reach FROM (SELECT left_id AS a, right_id AS b FROM v_lexical UNION ALL SELECT right_id, left_id FROM v_lexical)"
-VIEW_SQL["v_closure"] = "SELECT node, reach FROM v_reach"
-_COMPONENTS = """WITH RECURSIVE closure AS (SELECT node, reach FROM v_reach UNION SELECT c.node, r.reach FROM closure c JOIN v_reach r ON c.reach = r.node)
-SELECT node AS row_id, least(node, min(reach)) AS root FROM closure GROUP BY node"""
-
-
 def themes(spark, sf) -> DataFrame:
     """(row_id, root) of rows that similar titles connect; root is the smallest id."""
     return components(lexical(spark, sf).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))).select(F.col("node").alias("row_id"), "root")
 
 
-@query()
+@query(name="components")
 def components_of_rows(spark, sf):
     return themes(spark, sf)
 
@@ -138,7 +133,7 @@ def _recursive(body: str) -> str:
 def _register_recursive() -> None:
     from regista.plans.registry import ORACLES
 
-    ORACLES["components_of_rows"] = _recursive("SELECT row_id, root FROM rooted")
+    ORACLES["components"] = _recursive("SELECT row_id, root FROM rooted")
     ORACLES["theme_summary"] = _recursive("SELECT t.project_id, r.root, count(*) AS n_members, count(DISTINCT t.source) AS n_sources, min(r.row_id) AS first_id, max(r.row_id) AS last_id, count_if(r.row_id % 4 = 0) AS n_closed, string_agg(r.row_id, ',' ORDER BY r.row_id) AS members FROM rooted r JOIN v_titles t ON t.row_id = r.row_id GROUP BY ALL")
     ORACLES["theme_label"] = _recursive("SELECT root, coalesce(label, CAST(first_id AS VARCHAR) || ' and ' || (n - 1) || ' related record' || CASE WHEN n = 2 THEN '' ELSE 's' END) AS label FROM (SELECT root, min(row_id) AS first_id, count(*) AS n FROM rooted GROUP BY root) LEFT JOIN (SELECT root, string_agg(token, ' / ' ORDER BY k) AS label FROM (SELECT root, token, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, token) AS k FROM rooted JOIN v_title_tokens USING (row_id) JOIN v_token_df d USING (project_id, token) WHERE NOT d.generic GROUP BY root, token HAVING count(*) >= 2) WHERE k <= 2 GROUP BY root) USING (root)")
     ORACLES["unlock_count"] = _recursive("SELECT row_id, root, count_if(row_id % 4 <> 0 AND row_id % 9 <> 0) OVER (PARTITION BY root) - CASE WHEN row_id % 4 <> 0 AND row_id % 9 <> 0 THEN 1 ELSE 0 END AS unlocks FROM rooted")

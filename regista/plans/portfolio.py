@@ -44,7 +44,7 @@ def attention_queue(spark, sf):
     return attention(spark, sf)
 
 
-@query(f"SELECT external_id, {_URGENCY} AS urgency FROM v_scored")
+@query(f"SELECT external_id, {_URGENCY} AS urgency FROM v_scored", name="urgency")
 def urgency_of_rows(spark, sf):
     return state.scored(spark, sf).select("external_id", urgency(F.col("due_days"), F.col("severity_label") == "critical").alias("urgency"))
 
