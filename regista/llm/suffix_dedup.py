@@ -137,7 +137,7 @@ def phrase_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array(np.full(len(q), d)), pa.array(np.full(len(q), k)), some.field("q"), some.field("key"), some.field("m"), pa.array(data, pa.binary())], names=["d", "k", "q", "key", "m", "bytes"]
                 )
 
-    rows = docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").join(wanted, ["d", "k"])
+    rows = docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").join(wanted.hint("merge"), ["d", "k"])
     return rows.select("d", "k", "text", "some").mapInArrow(run, "d long, k long, q long, key long, m long, bytes binary")
 
 
@@ -203,10 +203,10 @@ def repeats(docs: DataFrame, hot: int = 4000) -> DataFrame:
     """(d, k, p, n): runs of n starts from p on whose ``LENGTH`` bytes also start earlier."""
     parsed = occurrences(docs)
     keys = materialize(parsed.groupBy("key").count().where("count > 1").select("key"), "triggers")
-    parsed = materialize(parsed.join(keys, "key"), "parse")
+    parsed = materialize(parsed.join(keys.hint("merge"), "key"), "parse")
     first = parsed.groupBy("key", "phrase").agg(F.min(F.struct("d", "k", "q")).alias("first"))
     dictionary = materialize(first, "dictionary")
-    copies = parsed.join(dictionary, ["key", "phrase"]).where(F.struct("d", "k", "q") != F.col("first"))
+    copies = parsed.join(dictionary.hint("merge"), ["key", "phrase"]).where(F.struct("d", "k", "q") != F.col("first"))
     copies = copies.select("d", "k", F.shiftright("q", 16).alias("p"), F.shiftright("q", 8).bitwiseAND(F.lit(255)).alias("n"))
 
     shared = materialize(dictionary.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
@@ -248,5 +248,5 @@ def dedup(docs: DataFrame, hot: int = 4000, kept: bool = False) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(len(names))], names=names)
 
-    rows = docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").join(gone, ["d", "k"], "left").select("d", "text", "gone")
+    rows = docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").join(gone.hint("merge"), ["d", "k"], "left").select("d", "text", "gone")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * kept)
