@@ -114,7 +114,7 @@ def resolve_date(text: str | Column, event: str | Column) -> Column:
     low = F.lower(F.regexp_replace(text, r"\s+", " "))
     iso = F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), 1)
     hard = F.regexp_extract(low, r"hard\s*stop[^0-9]*(\d{4}-\d{2}-\d{2})", 1)
-    first, last = F.try_to_date(F.get(iso, F.lit(0))), F.try_to_date(F.element_at(iso, -1))
+    first, last = F.try_to_date(F.get(iso, F.lit(0))), F.try_to_date(F.try_element_at(iso, F.lit(-1)))
     upcoming = F.regexp_extract(low, r"\bnext\s+(sunday|monday|tuesday|wednesday|thursday|friday|saturday)\b", 1)
     number = F.coalesce(*[F.when(upcoming == d, i) for i, d in enumerate(_DAYS)])
     ahead = (number - (F.dayofweek(event) - 1) + 7) % 7

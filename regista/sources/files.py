@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Kinds of source by extension.
 KINDS = {"vtt": "vtt", "txt": "txt", "md": "md", "msg": "msg", "eml": "eml", "xlsx": "xlsx", "docx": "docx", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image"}
@@ -28,13 +29,13 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def completeness(kind: str, content: str) -> Column:
-    """Why a file looks cut off, or null: empty, a zip without its end record, a transcript that ends on a timing line, mail
+    """Why a file looks cut off, or null: empty or blank (Spark lists no files of no bytes at all), a zip without its end record, a transcript that ends on a timing line, mail
     without a body."""
-    text = F.decode(F.substring(content, 1, 2_000_000), "UTF-8")
-    tail = F.element_at(F.split(F.rtrim(text), r"\r?\n"), -1)
+    text = F.col(content).cast("string")
+    tail = F.element_at(F.split(F.regexp_replace(text, r"\s+$", ""), r"\r?\n"), -1)
     zipped = F.hex(content).contains("504B0506")
     return (
-        F.when(F.length(content) == 0, "empty").when(F.col(kind).isin("docx", "xlsx") & ~zipped, "no end record")
+        F.when((F.length(content) == 0) | ~text.rlike(r"\S"), "empty").when(F.col(kind).isin("docx", "xlsx") & ~zipped, "no end record")
         .when((F.col(kind) == "vtt") & tail.rlike(TIMING), "ends on a timing line").when((F.col(kind) == "eml") & ~text.rlike(r"\r?\n\r?\n"), "no body")
     )
 
@@ -75,7 +76,7 @@ def vtt_segments(documents: DataFrame, id_: str = "source_id", text: str = "text
     return c.select(id_, F.row_number().over(order).alias("seq"), "start_ms", "end_ms", F.coalesce("speaker", carried).alias("speaker"), F.col("payload").alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _quoted_printable(body: pd.Series) -> pd.Series:
     return body.map(lambda b: None if b is None else quopri.decodestring(b.encode("utf-8", "replace")).decode("utf-8", "replace"))
 

@@ -41,7 +41,7 @@ def packets(documents: DataFrame, registers: list[str]) -> DataFrame:
     keyed = each.withColumn("row", F.transform_keys("row", lambda k, v: F.regexp_replace(F.lower(k), "[^a-z0-9]+", "_")))
     ident = F.coalesce(*[F.when(F.trim(F.col("row")[n]) != "", F.trim(F.col("row")[n])) for n in ID_NAMES])
     keyed = keyed.withColumn("external_id", ident)
-    repeated = keyed.groupBy("packet", "register_name", "external_id").agg(F.count("*").alias("n"))
-    j = keyed.join(repeated, [keyed.packet.eqNullSafe(repeated.packet), keyed.register_name.eqNullSafe(repeated.register_name), keyed.external_id.eqNullSafe(repeated.external_id)])
-    reason = F.when(keyed.external_id.isNull(), "missing id").when(F.col("n") > 1, "repeated id")
-    return j.select(keyed.packet, keyed.register_name, keyed.external_id, "row", reason.alias("reason"))
+    repeated = keyed.groupBy(F.col("packet").alias("p"), F.col("register_name").alias("r"), F.col("external_id").alias("e")).agg(F.count("*").alias("n"))
+    j = keyed.join(repeated, F.col("packet").eqNullSafe(F.col("p")) & F.col("register_name").eqNullSafe(F.col("r")) & F.col("external_id").eqNullSafe(F.col("e")))
+    reason = F.when(F.col("external_id").isNull(), "missing id").when(F.col("n") > 1, "repeated id")
+    return j.select("packet", "register_name", "external_id", "row", reason.alias("reason"))

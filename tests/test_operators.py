@@ -35,7 +35,7 @@ def test_dates(spark, wording, date, confidence):
 @pytest.mark.parametrize(("text", "high"), [
     ("I'll send the counts by Friday, we finished the last batch in March", {"explicit-action", "explicit-date"}), ("I’ll have the permit mapping completed by Friday", {"explicit-date"}),
     ("we finished that by Friday last month", set()), ("next Wednesday is a bank holiday", set()), ("The workshop is on Monday 14th at 10:30", {"scheduled-time"}), ("let me tick that", {"live-config-act"}),
-    ("I'll change my mind about the sandwich", set()), ("I'll change the permit template", {"live-config-act"}), ("please capture that as a decision", {"explicit-register"}), ("", set()),
+    ("I'll change my mind about the sandwich", set()), ("I'll change the permit template", {"live-config-act"}), ("please capture that as decision", {"explicit-register"}), ("", set()),
 ])
 def test_markers(spark, text, high):
     found = spark.range(1).select(texts.markers(F.lit(text)).alias("m")).first().m
@@ -61,7 +61,7 @@ def test_scan_completeness_and_word_files(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(b"PK\x03\x04 cut")
     (tmp_path / "c.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\n")
     (tmp_path / "d.eml").write_text("From: x\nSubject: y")
-    (tmp_path / "e.txt").write_bytes(b"")
+    (tmp_path / "e.txt").write_bytes(b" \n")
     (tmp_path / "f.bin").write_bytes(b"x")
     scanned = files.scan(spark, str(tmp_path))
     reasons = {r.path.rsplit("/", 1)[1]: (r.kind, r.reason) for r in scanned.withColumn("reason", files.completeness("kind", "content")).collect()}
@@ -149,7 +149,7 @@ def test_inbox_stream(spark, tmp_path):
     box.mkdir()
     (box / "a.txt").write_text("hello")
     (box / "b.txt").write_text("hello")
-    (box / "c.txt").write_bytes(b"")
+    (box / "c.txt").write_bytes(b" ")
     (box / "d.tmp").write_text("draft")
     sink = jobs.Inbox()
 
