@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import texts
+from regista.llm.common import smallest_hashes, texts
 
 PASSAGE = 512
 LAGS = 24
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 5, **o
     """Train on at most ``most`` labelled documents that aren't held out, smallest hashes first."""
     label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
     label = label.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    chosen = label.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
+    chosen = smallest_hashes(label, most, seed, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import materialize, texts
+from regista.llm.common import materialize, smallest_hashes, texts
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -189,7 +189,7 @@ def calibrate(rated: DataFrame, labels: DataFrame, cost: float, threshold: float
 def fit(docs: DataFrame, labels: DataFrame, trees: int = 100, tree_rows: int = 256, cost: float = 10.0, threshold: float = 0.6, seed: int = 7) -> tuple[DataFrame, Forest, float]:
     """(scored statistics of all documents, forest, threshold)."""
     stats = materialize(statistics(docs), "rules")
-    sample = stats.where("n_words >= 20").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", *STATS).limit(trees * tree_rows)
+    sample = smallest_hashes(stats.where("n_words >= 20"), trees * tree_rows, seed, "doc_id", *STATS)
     rows = np.array([tuple(r) for r in sample.select(*STATS).collect()], np.int64).reshape(-1, len(STATS))
     forest = Forest(features(rows[~base_failed(rows)]), trees, tree_rows, seed)
     rated = scored(stats, forest)
