@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from regista.llm.common import materialize, texts
 
 #: Entries in each generation of a worker's memo; its size costs or saves time but never changes a result.
-CACHE = 250_000
+CACHE = 100_000
 #: How byte-level tokenizers cut texts into pre-tokens.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE_RUN = regex.compile(r" \s|\s ")
@@ -59,6 +59,7 @@ def ranked(path: str):
     special = {t["content"] for t in spec.get("added_tokens", [])}
     byte = byte_of_char()
     ranks = {bytes(map(byte.__getitem__, token)): i for token, i in model["vocab"].items() if token not in special}
+    del spec, model, order
     return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
