@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from regista.llm.common import texts
 
 #: Entries in each generation of a worker's memos; their size costs or saves time but never changes a result.
-CACHE = 250_000
+PIECES, CHUNKS = 300_000, 100_000
 _SPACE_RUN = regex.compile(r" \s|\s ")
 
 
@@ -131,22 +131,27 @@ class Codec:
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.token) + 1)
-        self.pieces = Recent(lambda piece: merge(piece.encode(), self.ranks, self.queue), CACHE)
-        self.chunks = Recent(self.chunk, CACHE)
+        self.pieces = Recent(self.piece, PIECES)
+        self.chunks = Recent(self.chunk, CHUNKS)
 
     def encode(self, text: str) -> list[int]:
-        find, out = self.pieces.find, []
-        for piece in self.split(text):
-            out += self.pieces.new.get(piece) or find(piece)
-        return out
+        return [i for piece in self.split(text) for i in merge(piece.encode(), self.ranks, self.queue)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def chunk(self, text: str) -> tuple[str, int, bytes]:
-        ids = self.encode(text)
+    def piece(self, text: str) -> tuple[str, int, bytes]:
+        ids = merge(text.encode(), self.ranks, self.queue)
         return ",".join(map(str, ids)), len(ids), self.decode(ids)
 
+    def chunk(self, text: str) -> tuple[str, int, bytes]:
+        memo, out = self.pieces, []
+        for x in self.split(text):
+            out.append(memo.new.get(x) or memo.find(x))
+        if len(out) == 1:
+            return out[0]
+        return ",".join([x[0] for x in out]), sum([x[1] for x in out]), b"".join([x[2] for x in out])
+
     def coded(self, text: str) -> list[tuple[str, int, bytes]]:
         """(ids, number, decoded bytes) of successive chunks. A single space between two other characters always begins
         a pre-token, so the text may be cut there and equal chunks encoded once; other texts are one chunk."""
