@@ -1,7 +1,7 @@
 """Corpus pipeline: from raw documents to packed training sequences.
 
-Stages, in order: quality rules reject documents; later copies of repeated line runs are cut, and documents of which
-nothing is left go; one document of each near-duplicate group stays; personal data get surrogates; what remains is
+Stages, in order: quality rules reject documents; later copies of repeated line runs (three lines, or 50 words) are cut,
+and documents of which nothing is left go; one document of each near-duplicate group stays; personal data get surrogates; what remains is
 tokenized and packed. All but the last return the columns of ``documents`` (n_chars follows the text).
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and may be run alone on a table in the
@@ -21,6 +21,8 @@ from regista.llm.common import read, shared_dir
 
 #: Secret of the surrogates; a deployment sets its own.
 PII_KEY = b"regista surrogates"
+#: Repeated runs of fewer than three lines go too if they hold this many words.
+LONG_PASSAGE = 50
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those of which only white space is left go."""
-    cut = line_dedup.strip_runs(docs)
+    cut = line_dedup.strip_runs(docs, min_words=LONG_PASSAGE)
     return _counted(cut.where((F.col("n_removed") == 0) | F.col("text").rlike(line_dedup.NON_BLANK)), docs.columns)
 
 

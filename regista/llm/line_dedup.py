@@ -7,7 +7,9 @@ where its run occurs: equal suffix prefixes get equal names, as in a suffix arra
 first copy. After each doubling only runs that occur at least twice stay, so the work shrinks with the repetition left.
 
 A start whose ``min_lines``-line run also occurs earlier has a common prefix of at least that length with an earlier
-suffix; such starts, overlapping, make up the maximal repeated runs. All their lines go; the first copy stays.
+suffix; such starts, overlapping, make up the maximal repeated runs: longer names would cover no further line. With
+``min_words``, shorter runs count too if they hold that many words, so that a long passage on one line is found; each
+length below ``min_lines`` then gets its names. All lines of such runs go; the first copy stays.
 
 Cases: a null text has no lines and stays null; blank lines (only white space) are no symbols and always stay; rows of one
 doc_id with different texts are ordered by the text's hash, and rows repeated whole count as one document, so that all of
@@ -17,47 +19,66 @@ an empty table gives an empty result; further columns pass through ``strip_runs`
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regista.llm.common import doc_key, id_key, materialize
 
 NON_BLANK = r"[^\x20\x09-\x0D]"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+#: A run of characters between white space; in scripts without spaces, each character.
+WORD = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 DOC = ["d", "k"]
 
 
 def symbols(docs: DataFrame) -> DataFrame:
-    """(d, k, pos, line_no, h, g): the non-blank lines of every document, numbered, with their 128-bit hash."""
+    """(d, k, pos, line_no, h, g, words, last): the non-blank lines of every document, numbered, with their 128-bit hash
+    and number of words (of the run, and of its last line: here both one line)."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
     some = F.filter(lines, lambda s: s["line"].rlike(NON_BLANK))
     rows = docs.where("text IS NOT NULL").select(id_key("doc_id").alias("d"), doc_key().alias("k"), F.posexplode(some).alias("pos", "s"))
-    return rows.select(*DOC, "pos", F.col("s.line_no").alias("line_no"), F.xxhash64("s.line").alias("h"), F.xxhash64(F.lit(1), "s.line").alias("g"))
+    words = F.regexp_count("s.line", F.lit(WORD))
+    return rows.select(*DOC, "pos", F.col("s.line_no").alias("line_no"), F.xxhash64("s.line").alias("h"), F.xxhash64(F.lit(1), "s.line").alias("g"), words.alias("words"), words.alias("last"))
 
 
 def named(rows: DataFrame, *content: str) -> DataFrame:
-    """(d, k, pos, name) of the rows whose content occurs at least twice; ``name`` is its first place. The aggregation
+    """(d, k, pos, name, and further columns) of the rows whose content occurs at least twice; ``name`` is its first place. The aggregation
     combines before its shuffle, and the join back splits frequent contents, so no content gathers in one task."""
     first = rows.groupBy(*content).agg(F.min(F.struct(*DOC, "pos")).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = rows.join(materialize(first, "names").hint("merge"), list(content)).select(*DOC, "pos", "name")
+    own = [c for c in rows.columns if c in ("words", "last")]
+    again = rows.join(materialize(first, "names").hint("merge"), list(content)).select(*DOC, "pos", "name", *own)
     return materialize(again.distinct(), "runs")
 
 
 def following(runs: DataFrame, shift: int) -> DataFrame:
-    """(d, k, pos, a, b): names at pos and at pos + shift."""
-    later = runs.select(*DOC, (F.col("pos") - shift).alias("pos"), F.col("name").alias("b"))
-    return runs.withColumnRenamed("name", "a").join(later, [*DOC, "pos"])
+    """(d, k, pos, a, b): names at pos and at pos + shift; with counts, for a shift of one line, those of both together."""
+    own = [c for c in runs.columns if c == "words"]
+    later = runs.select(*DOC, (F.col("pos") - shift).alias("pos"), F.col("name").alias("b"), *[F.col("last") for _ in own])
+    both = runs.select(*DOC, "pos", F.col("name").alias("a"), *own).join(later, [*DOC, "pos"])
+    return both.withColumn("words", F.col("words") + F.col("last")) if own else both
+
 
+def copied(runs: DataFrame, n: int) -> DataFrame:
+    """(d, k, pos) of the lines of runs of ``n`` lines that occur earlier."""
+    copies = runs.where(F.struct(*DOC, "pos") != F.col("name"))
+    return copies.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + (n - 1))).alias("pos"))
 
-def later_copies(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """(d, k, pos, line_no) of the lines inside runs of ``min_lines`` lines or more that also occur earlier."""
-    lines = materialize(symbols(docs), "lines")
-    runs, span = named(lines, "h", "g"), 1
+
+def later_copies(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+    """(d, k, pos, line_no) of the lines inside runs of ``min_lines`` lines or more, or ``min_words`` words if given,
+    that also occur earlier."""
+    lines = symbols(docs)
+    lines = materialize(lines if min_words else lines.drop("words", "last"), "lines")
+    runs, span, covered = named(lines, "h", "g"), 1, []
     while span < min_lines:
-        shift = min(span, min_lines - span)
+        if min_words:
+            covered.append(copied(runs.where(F.col("words") >= min_words), span))
+        shift = 1 if min_words else min(span, min_lines - span)
         runs = named(following(runs, shift), "a", "b")
         span += shift
-    copies = runs.where(F.struct(*DOC, "pos") != F.col("name"))
-    covered = copies.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
+    covered = reduce(DataFrame.union, covered, copied(runs, min_lines)).distinct()
     return lines.select(*DOC, "pos", "line_no").join(covered, [*DOC, "pos"]).distinct()
 
 
@@ -71,9 +92,9 @@ def removals(gone: DataFrame) -> DataFrame:
     )
 
 
-def strip_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def strip_runs(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``docs`` without later copies of repeated line runs: its columns, and n_lines, n_removed, n_runs."""
-    gone = materialize(removals(later_copies(docs, min_lines)), "gone")
+    gone = materialize(removals(later_copies(docs, min_lines, min_words)), "gone")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), id_key("doc_id").alias("d"), doc_key().alias("k"))
     # merged whatever its size: a broadcast of the removals would grow with the corpus

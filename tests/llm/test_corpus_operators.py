@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from regista.llm import line_dedup, ngram_join, suffix_dedup
 
 DOC = "doc_id long, text string, lang string"
@@ -72,6 +73,35 @@ def test_line_runs_by_hand(spark, k):
     assert all(r.pos == "n" for r in got)
 
 
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_long_passages_by_hand(spark, k):
+    draw = random.Random(k)
+    pool = ["one", "two words", "six words stand on this line", "a " * 9, "", "文字" * 5]
+    rows = [(i, "\n".join(draw.choice(pool) for _ in range(draw.randrange(12)))) for i in range(25)] + [(30, None), (31, "")]
+    seen, want = set(), {}
+    for d, t in rows:
+        some = [x for x in (t or "").split("\n") if x.strip()]
+        words = [len(x.split()) if x.isascii() else len(x) for x in some]
+        gone = set()
+        for p in range(len(some)):
+            for n in range(1, len(some) - p + 1):
+                run = tuple(some[p : p + n])
+                if run in seen and (n >= k or sum(words[p : p + n]) >= 9):
+                    gone.update(range(p, p + n))
+                seen.add(run)
+        want[d] = (len(gone), sum(p - 1 not in gone for p in gone))
+    got = line_dedup.strip_runs(spark.createDataFrame([(*r, "n") for r in rows], DOC), k, min_words=9).collect()
+    assert {r.doc_id: (r.n_removed, r.n_runs) for r in got} == want
+
+
+def test_pipeline_cuts_a_long_paragraph(spark, sf):
+    passage = " ".join(f"word{i}" for i in range(60))
+    halves = "\n".join([" ".join(f"left{i}" for i in range(30)), " ".join(f"right{i}" for i in range(30))])
+    rows = [(i, f"own line {i}\n{passage}\nshort\nend {i}\n{halves}", "en") for i in range(3)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOC), sf).collect()
+    assert {r.doc_id: r.text for r in got} == {0: rows[0][1]} | {i: f"own line {i}\nend {i}" for i in (1, 2)}
+
+
 def test_line_runs_odd_rows(spark):
     text = "a\nb\nc"
     rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (2, text, "c")]
