@@ -41,7 +41,8 @@ SECRET_WORDS = "token|secret|password|passwd|api[_-]?key|access[_-]?key"
 SYLLABLES = {"latin": "bar del fon gar hal kel lin mar nor pel rin sel tam vor wen zan".split(), "cyrillic": "бар дел фон гар хал кел лин мар нор пел рин сел там вор вен зан".split()}
 
 _GENDER = {name: g for g, names in GIVEN.items() for name in names}
-_CUES = frozenset([*_GENDER, *(n.upper() for n in _GENDER), *TITLES, *(t + "." for t in TITLES)])
+_CUES = frozenset([*_GENDER, *(n.upper() for n in _GENDER), *TITLES])
+_RUN = re.compile(r"\w+")  # between two \b, as the names' expressions want them
 _WORD = r"[^\W\d_]"
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]*\w@\w(?:[\w-]*\w)?(?:\.\w(?:[\w-]*\w)?)+")
 _SECRET = re.compile(rf"(?i)\b(?:{SECRET_WORDS})\b[\"']?\s*[:=]\s*[\"']?([\w+/=.~-]{{8,}})")
@@ -84,7 +85,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "ssn", digits_of(m[0])) for m in _SSN.finditer(text)]
         found += [(m.start(), m.end(), "card", digits_of(m[0])) for m in _CARD.finditer(text)]
         found += [(m.start(), m.end(), "phone", digits_of(m[0])[-10:]) for m in _PHONE.finditer(text) if 7 <= len(digits_of(m[0])) <= 15]
-    if not _CUES.isdisjoint(text.split()):
+    if not _CUES.isdisjoint(_RUN.findall(text)):
         for m in _TITLED.finditer(text):
             names = [(m.start(g), m.end(g), m[g]) for g in (1, 2) if m[g] and m[g][0].isupper()]
             for k, (a, b, name) in enumerate(names):
@@ -98,6 +99,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if families:  # later mentions by family name alone
             known = re.compile(rf"\b(?:{'|'.join(re.escape(f) for f in sorted(families, key=len, reverse=True))})\b", re.IGNORECASE)
             found += [(m.start(), m.end(), "family", m[0].lower()) for m in known.finditer(text) if m[0][0].isupper()]
+        givens = {x[3]: x[2] for x in found if x[2].startswith("given")}
+        if givens:  # mentions by given name alone
+            known = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(givens)))})\b", re.IGNORECASE)
+            found += [(m.start(), m.end(), givens[m[0].lower()], m[0].lower()) for m in known.finditer(text) if m[0][0].isupper()]
     found = [(a, b, kind, canon.lower() if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canon) else canon) for a, b, kind, canon in found]
     order = {k: i for i, k in enumerate(("email", "secret", "ip", "iban", "ssn", "phone", "card"))}
     out: list[tuple[int, int, str, str]] = []

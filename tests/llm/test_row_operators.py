@@ -3,6 +3,7 @@ import math
 import re
 
 import numpy as np
+import pytest
 
 from regista.llm import mil_classifier, pii, quality_rules, sharding, topk
 
@@ -71,6 +72,20 @@ def test_surrogates_keep_type_and_differ(spark):
     assert re.search(r"Господин ([А-Яа-яё]+) [А-Яа-я]+\.", new)[1] in pii.GIVEN["M"]
 
 
+@pytest.mark.parametrize("text", ["(Mr Smith)", '"James Miller" said', "author:Anna Weber", '{"name":"Anna Weber"}', "[Dr. Smith]", "—Анна Петрова—"])
+def test_names_beside_punctuation(text):
+    new, found = pii.replace(text, b"k", {})
+    assert found[-1][2] == "family"
+    assert not {text[a:b] for a, b, _, _ in found} & set(re.findall(r"\w+", new))
+
+
+def test_given_name_alone():
+    new, found = pii.replace("Anna Weber came. ANNA left; Anna's bag stayed with Karen. Annabel saw it.", b"k", {})
+    assert [k for _, _, k, _ in found] == ["given_f", "family", "given_f", "given_f"]
+    first = new.split()[0]
+    assert first != "Anna" and f"{first.upper()} left; {first}'s bag stayed with Karen. Annabel" in new
+
+
 def test_surrogate_collisions_are_resolved(spark):
     rows = [(i, f"from 10.{i // 200}.{i % 200}.7 to x", "en") for i in range(1500)] + [(None, None, "n"), (3, "", "n"), (3, "Call 10.0.0.7 10.0.0.7", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_found string")
