@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +48,15 @@ def with_columns(batch: pa.RecordBatch, **more) -> pa.RecordBatch:
     names = [n for n in batch.schema.names if n not in more]
     arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
     return pa.RecordBatch.from_arrays([*arrays, *more.values()], names=[*names, *more])
+
+
+def stretches(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of about ``most`` characters, with their texts; a longer text is a slice of its own."""
+    some, lo = texts(batch), 0
+    while lo < len(some):
+        hi, total = lo, 0
+        while hi < len(some) and (hi == lo or total + len(some[hi]) <= most):
+            total += len(some[hi])
+            hi += 1
+        yield batch.slice(lo, hi - lo), some[lo:hi]
+        lo = hi

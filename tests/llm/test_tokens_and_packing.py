@@ -30,13 +30,46 @@ def test_codec_equals_the_library(library):
         ids = library.encode_ordinary(text)
         assert code.encode(text) == ids
         assert code.decode(ids) == text.encode()
-        assert ",".join(p[0] for p in code.coded(text)) == ",".join(map(str, ids))
+    together = list(code.coded(texts))
+    assert together == [(",".join(map(str, ids)), len(ids), text.encode()) for text, ids in ((t, library.encode_ordinary(t)) for t in texts)]
+
+
+def one_by_one(piece, ranks):
+    """The definition: the lowest-ranked pair, the leftmost among equals, until none is left."""
+    parts = [bytes([b]) for b in piece]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[x] for x in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_merges_in_any_vocabulary(seed):
+    """Ranks in random order, so that merges bring up lower ranks than their own all the time."""
+    draw = random.Random(seed)
+    words = {"".join(draw.choices("aab", k=draw.randrange(2, 7))).encode() for _ in range(40)} | {b"a", b"b", b"c"}
+    ranks = {w: i for i, w in enumerate(draw.sample(sorted(words), len(words)))}
+    merger = bpe.Merger(ranks)
+    pieces = ["".join(draw.choices("aaabbc", k=draw.randrange(1, 40))).encode() for _ in range(150)] + [b"a" * n for n in range(1, 30)]
+    ids, count = merger.merge(pieces)
+    at = np.cumsum([0, *count])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [one_by_one(p, ranks) for p in pieces]
+    assert merger.queue.pop() is None and not any(merger.queue.leaf) and not any(merger.queue.mid) and all(b is None for b in merger.queue.buckets)
+
+
+def test_long_pre_tokens(library):
+    code = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    assert code.encode("abcde" * 4000) == library.encode_ordinary("abcde" * 4000)
+    for text in ("a" * 2_000_000, "abracadabra" * 200_000):
+        assert code.decode(code.encode(text)) == text.encode()
 
 
-def test_queue_is_empty_between_pieces():
-    code = bpe.codec(RANKS, public_tokenizers.PATTERN)
-    bpe.merge(b"abracadabra" * 50, code.ranks, code.queue)
-    assert not any(code.queue.leaf) and not any(code.queue.mid) and all(b is None for b in code.queue.buckets)
+def test_little_memory_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    code = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    for text in ODD * 2:
+        assert code.encode(text) == library.encode_ordinary(text)
 
 
 def test_encode_decode_rows(spark, library):
