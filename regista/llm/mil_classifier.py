@@ -2,12 +2,13 @@
 
 A document is a bag of passages (slices of ``PASSAGE`` UTF-8 bytes). Every passage is encoded; gated attention, learnt from
 document labels alone, weighs the passages; the weighted passage representation is scored. The model trains on the driver
-on at most ``most`` labelled documents chosen by hash (a documented bound; whole texts); every passage of every document
-is scored in the workers. Features are byte statistics of the text alone: never labels, lang, source or ids.
+on at most ``most`` labelled documents and ``passages`` passages chosen by hash (documented bounds; whole texts); every
+passage of every document is scored in the workers. Features are byte statistics of the text alone: never labels, lang, source or ids.
 
 Cases: a null or empty text is one empty passage and is scored like any other; null ids are scored, but never held out
 nor trained on; null labels are ignored, of repeated labels the lowest counts; without both labels every score is the
-share of label 1 (0.5 without any); equal texts get equal scores; an empty table gives an empty result.
+share of label 1 (0.5 without any); a score depends on its text alone, so equal texts get equal scores however the rows are
+partitioned; rows that repeat a document train once; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import smallest_hashes, texts
+from regista.llm.common import doc_key, smallest_hashes, stretches
 
 PASSAGE = 512
+#: Longer texts are encoded in blocks of so many bytes (a multiple of PASSAGE), passages scored by so many at a time, and
+#: texts of so many characters met at a time.
+LONG, SCORED, STRETCH = 1 << 20, 4096, 4_000_000
 LAGS = 24
 KINDS = 48
 PAIRS = 56
@@ -48,16 +52,31 @@ def byte_kinds() -> np.ndarray:
 
 
 _KIND = byte_kinds()
-_GROUP = np.array([0 if k == 0 else 1 + (k % 7) if k < 38 else k - 30 for k in range(KINDS)])
 
 
 def encode(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(features of every passage, first passage of each text): shares of byte kinds and of pairs of kinds, and how often
-    a byte equals the one 1..LAGS places before."""
+    a byte equals the one 1..LAGS places before. Bytes of one text only: a passage looks back into the passage before it,
+    never into another text."""
     raw = [t.encode("utf-8", "replace") or b"\0" for t in batch]
-    size = np.array([len(r) for r in raw])
+    if max(map(len, raw), default=0) > LONG:
+        parts = [blocks(r) if len(r) > LONG else features([r])[0] for r in raw]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    return features(raw)
+
+
+def blocks(raw: bytes) -> np.ndarray:
+    """The features of a long text, block by block: each block but the first brings the passage before it as context."""
+    out = [features([raw[:LONG]])[0]]
+    for lo in range(LONG, len(raw), LONG):
+        out.append(features([raw[lo - PASSAGE : lo + LONG]])[0][1:])
+    return np.concatenate(out)
+
+
+def features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(r) for r in raw], np.int64)
     count = -(-size // PASSAGE)
-    first = np.concatenate([[0], np.cumsum(count)])
+    first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     start = np.concatenate([[0], np.cumsum(size)])
     inside = np.arange(len(data)) - np.repeat(start[:-1], size)
@@ -67,17 +86,23 @@ def encode(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kind = _KIND[data]
     out = np.empty((total, WIDTH), np.float32)
     out[:, :KINDS] = np.bincount(passage * KINDS + kind, minlength=total * KINDS).reshape(total, KINDS)
-    pair = (kind[:-1] * 31 + kind[1:] * 7) % PAIRS
-    out[:, KINDS : KINDS + PAIRS] = np.bincount(passage[1:] * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS)
+    pair = (passage[1:] * PAIRS + (kind[:-1] * 31 + kind[1:] * 7) % PAIRS)[inside[1:] > 0]
+    out[:, KINDS : KINDS + PAIRS] = np.bincount(pair, minlength=total * PAIRS).reshape(total, PAIRS)
     edges = np.searchsorted(passage, np.arange(total))
     for lag in range(1, LAGS + 1):
         same = np.zeros(len(data), np.int32)
         same[lag:] = (data[lag:] == data[:-lag]) & (inside[lag:] >= lag)
-        out[:, KINDS + PAIRS + lag - 1] = np.add.reduceat(same, edges)
+        out[:, KINDS + PAIRS + lag - 1] = np.add.reduceat(same, edges) if total else 0
     out /= np.maximum(length, 1)[:, None]
     return np.sqrt(out), first
 
 
+def exact(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Product of both rounded to multiples of 2**-16: sums of integers that doubles hold exactly, so that a row's result
+    doesn't depend on the rows beside it, as the order of sums in a matrix product does."""
+    return np.rint(x.astype(np.float64) * 65536) @ np.rint(w.astype(np.float64) * 65536) / 2.0**32
+
+
 class Model:
     """Encoder, gated attention and scorer; ``train`` fits them by Adam on whole bags."""
 
@@ -92,18 +117,30 @@ class Model:
     def forward(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """``first``: the first passage of each bag, and the number of passages at the end."""
         bag = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        h = np.tanh(x @ self.w + self.b)
-        t, s = np.tanh(h @ self.v), 1 / (1 + np.exp(-np.clip(h @ self.u, -30, 30)))
-        e = (t * s) @ self.a
+        h, t, s, e = self.gated(x)
         e = np.exp(e - np.maximum.reduceat(e, first[:-1])[bag])
         weight = e / np.add.reduceat(e, first[:-1])[bag]
         z = np.add.reduceat(h * weight[:, None], first[:-1])
         return bag, h, t, s, weight, z, 1 / (1 + np.exp(-np.clip(z @ self.c + self.d, -30, 30)))
 
+    def gated(self, x: np.ndarray, product=np.matmul) -> tuple[np.ndarray, ...]:
+        """Encoded passages, both halves of their gates, and their attention before it is shared out."""
+        h = np.tanh(product(x, self.w) + self.b)
+        t, s = np.tanh(product(h, self.v)), 1 / (1 + np.exp(-np.clip(product(h, self.u), -30, 30)))
+        return h, t, s, (t * s * self.a).sum(1)
+
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scores of bags, each by itself: the same whatever else is in ``x``."""
         if self.fixed is not None:
             return np.full(len(first) - 1, self.fixed)
-        return self.forward((x - self.mean) / self.scale, first)[-1].astype(float)
+        h, e = np.empty((len(x), len(self.c))), np.empty(len(x))
+        for lo in range(0, len(x), SCORED):
+            h[lo : lo + SCORED], _, _, e[lo : lo + SCORED] = self.gated((x[lo : lo + SCORED] - self.mean) / self.scale, exact)
+        out = np.empty(len(first) - 1)
+        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            weight = np.exp(e[a:b] - e[a:b].max())
+            out[i] = ((h[a:b] * (weight / weight.sum())[:, None]).sum(0) * self.c).sum() + self.d[0]
+        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         bag, h, t, s, weight, z, p = self.forward(x, first)
@@ -143,22 +180,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 5, **options) -> Model:
-    """Train on at most ``most`` labelled documents that aren't held out, smallest hashes first."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, passages: int = 200_000, seed: int = 5, **options) -> Model:
+    """Train on labelled documents that aren't held out, smallest hashes first: at most ``most`` of them, with at most
+    ``passages`` passages in all (about 100 MB of features on the driver). Rows that repeat an id and text count once."""
+    spark = docs.sparkSession
     label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
     label = label.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    chosen = smallest_hashes(label, most, seed, "id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), doc_key().alias("k"), "text").where("id IS NOT NULL")
+    sized = keyed.select("id", "k", F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE)).alias("size"))
+    sized = sized.groupBy("id", "k").agg(F.max("size").alias("size")).join(label, "id")
+    rows = smallest_hashes(sized, most, seed, "id", "k").collect()  # ``most`` rows of numbers
+    fits = np.cumsum([r["size"] for r in rows]) <= passages
+    chosen = spark.createDataFrame([(r.id, r.k, r.quality) for r, ok in zip(rows, fits, strict=True) if ok], "id long, k long, quality int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, first = encode(texts(batch))
+        for whole in batches:
+            for batch, some in stretches(whole, STRETCH):
+                x, first = encode(some)
                 bags = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags)], names=["id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bags, pa.binary())], names=["id", "k", "quality", "x"])
 
-    joined = docs.selectExpr("CAST(doc_id AS LONG) AS id", "text").join(F.broadcast(chosen), "id")  # ``most`` rows
-    rows = joined.select("id", "quality", "text").mapInArrow(run, "id long, quality int, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r.id, bytes(r.x)))
+    joined = keyed.join(F.broadcast(chosen), ["id", "k"]).groupBy("id", "k", "quality").agg(F.first("text").alias("text"))
+    rows = joined.select("id", "k", "quality", "text").mapInArrow(run, "id long, k long, quality int, x binary").collect()
+    rows.sort(key=lambda r: (r.id, r.k))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(int)
     return Model(seed=seed).train(np.concatenate(bags) if bags else np.zeros((0, WIDTH), np.float32), first, np.array([float(r.quality > 0) for r in rows]), seed=seed, **options)
@@ -169,10 +213,9 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                x, first = encode(texts(part))
+        for whole in batches:
+            for part, some in stretches(whole, STRETCH):
+                x, first = encode(some)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.value.score(x, first)), pa.array(np.diff(first))], names=["doc_id", "score", "n_passages"])
 
     scored = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, score double, n_passages long")

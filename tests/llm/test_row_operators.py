@@ -182,3 +182,68 @@ def test_classifier_holds_out_and_learns(spark):
     flipped = labels.withColumn("quality", 1 - labels.quality).where(mil_classifier.held_out(labels.doc_id)).unionByName(labels.where(~mil_classifier.held_out(labels.doc_id)))
     assert sorted(map(str, mil_classifier.classify(rows, flipped).collect())) == sorted(map(str, got))  # labels of held-out rows don't matter
     assert mil_classifier.classify(docs.where("false"), labels.where("false")).count() == 0
+
+
+def features_by_hand(text):
+    """Passages' features with plain loops."""
+    raw, out = text.encode() or b"\0", []
+    kind = mil_classifier.byte_kinds()
+    for lo in range(0, len(raw), mil_classifier.PASSAGE):
+        row = np.zeros(mil_classifier.WIDTH)
+        part = range(lo, min(lo + mil_classifier.PASSAGE, len(raw)))
+        for i in part:
+            row[kind[raw[i]]] += 1
+            if i:
+                row[mil_classifier.KINDS + (kind[raw[i - 1]] * 31 + kind[raw[i]] * 7) % mil_classifier.PAIRS] += 1
+            for lag in range(1, mil_classifier.LAGS + 1):
+                row[mil_classifier.KINDS + mil_classifier.PAIRS + lag - 1] += i >= lag and raw[i] == raw[i - lag]
+        out.append(np.sqrt(row / len(part)))
+    return np.array(out)
+
+
+def test_features_and_scores_by_hand():
+    draw = np.random.default_rng(3)
+    some = ["", "plain text, with marks!", "é" * 700, "".join(chr(c) for c in draw.integers(32, 900, 1500)), "x"]
+    x, first = mil_classifier.encode(some)
+    model = mil_classifier.Model(seed=1)
+    model.c, model.mean, model.scale = draw.normal(size=32).astype(np.float32), draw.normal(size=mil_classifier.WIDTH).astype(np.float32), np.full(mil_classifier.WIDTH, 0.5, np.float32)
+    score = model.score(x, first)
+    for i, text in enumerate(some):
+        hand = features_by_hand(text)
+        assert np.allclose(x[first[i] : first[i + 1]], hand, atol=1e-6)
+        alone = mil_classifier.encode([text])
+        assert (alone[0] == x[first[i] : first[i + 1]]).all()  # whatever stands before or after
+        assert model.score(*alone)[0] == score[i]
+        h = np.tanh((hand - model.mean) / model.scale @ model.w + model.b)
+        e = [math.exp(sum(np.tanh(p @ model.v) / (1 + np.exp(-(p @ model.u))) * model.a)) for p in h]
+        z = sum(w / sum(e) * p for w, p in zip(e, h, strict=True))
+        assert abs(score[i] - 1 / (1 + math.exp(-(z @ model.c + model.d[0])))) < 1e-4
+
+
+def test_long_texts_are_encoded_in_blocks():
+    text = "".join(chr(c) for c in np.random.default_rng(1).integers(32, 300, 3_100_000))
+    x, first = mil_classifier.encode(["a", text, "b"])
+    whole, _ = mil_classifier.features([text.encode()])
+    assert (x[first[1] : first[2]] == whole).all() and first.tolist() == [0, 1, 1 + len(whole), 2 + len(whole)]
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.unionByName(docs.limit(7)).unionByName(spark.createDataFrame([(None, None), (0, "")], "doc_id long, text string"))
+    rows = rows.withColumn("score", rows.text).withColumn("id", rows.text)
+    one, many = (sorted(map(str, mil_classifier.classify(r, labels, epochs=3).collect())) for r in (rows.repartition(1), rows.repartition(40)))
+    assert one == many and len(one) == rows.count()
+
+
+def test_training_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * (i * 50)) for i in range(60)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    train = mil_classifier.Model.train
+    try:
+        mil_classifier.Model.train = lambda self, x, first, y, **o: seen.append((len(x), len(y))) or self
+        mil_classifier.fit(docs, labels, most=10)
+        mil_classifier.fit(docs, labels, passages=40)
+    finally:
+        mil_classifier.Model.train = train
+    assert seen[0][1] == 10 and 0 < seen[1][0] <= 40
