@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +25,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regista.llm.common import materialize, texts
+from regista.llm.common import materialize, stretches
 
-#: Entries in each generation of a worker's memo; its size costs or saves time but never changes a result.
-CACHE = 100_000
+#: Characters a worker handles at a time.
+STRETCH = 2_000_000
 #: How byte-level tokenizers cut texts into pre-tokens.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACE_RUN = regex.compile(r" \s|\s ")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -42,66 +40,75 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def ranked(path: str):
-    """The file's tokenizer as byte ranks, which encode several times faster; None unless its ids equal its merge order
-    over plain byte-level pre-tokens, which makes both exactly alike."""
-    import tiktoken
+class Tokens:
+    """Little-endian 32-bit ids of texts, as the file's tokenizer gives them; special tokens written out in a text are those
+    tokens.
+
+    Where the file is plain byte-level BPE, its vocabulary runs as byte ranks, which is several times faster. That is the
+    same if the merges are listed in the order of the tokens they make and no token is made by two merges: the lowest
+    listed merge and the lowest-ranked concatenation are then the same pair whenever the parts of a listed merge meet, and
+    parts whose concatenation is a token but no listed merge can't meet, which ``apart`` makes sure of for every token.
+    """
 
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    def __init__(self, path: str) -> None:
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ranks = byte_ranks(spec)
+        self.fast = None
+        if self.ranks is not None:
+            self.fast = tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=self.ranks, special_tokens={})
+            self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", [])}
+            self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+
+    def one(self, text: str) -> bytes:
+        if self.fast is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out, at = [], 0
+        for found in self.cut.finditer(text):
+            out += [self.fast.encode_to_numpy(text[at : found.start()]).astype("<u4").tobytes(), self.special[found[0]]]
+            at = found.end()
+        out.append(self.fast.encode_to_numpy(text[at:] if at else text).astype("<u4").tobytes())
+        return b"".join(out)
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer's file as byte ranks; None unless the file is plain byte-level BPE whose ids follow from
+    the ranks alone."""
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
     plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
+    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or any(t[x] for t in added for x in ("single_word", "lstrip", "rstrip")):
         return None
-    order = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    if order != sorted(order):
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"]["".join(m)] for m in merges]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
         return None
-    special = {t["content"] for t in spec.get("added_tokens", [])}
     byte = byte_of_char()
-    ranks = {bytes(map(byte.__getitem__, token)): i for token, i in model["vocab"].items() if token not in special}
-    del spec, model, order
-    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-
+    raw = lambda token: bytes(map(byte.__getitem__, token))
+    special = {t["content"] for t in added}
+    ranks = {raw(token): i for token, i in model["vocab"].items() if token not in special}
+    single = {r for r in ranks if len(r) == 1}
+    if len(ranks) != len(single) + len(made) or not apart(ranks, [raw("".join(m)) for m in merges], [len(raw(m[0])) for m in merges]):
+        return None
+    return ranks
 
-class Tokens:
-    """Little-endian 32-bit ids of texts, with equal chunks encoded once (see bpe.Codec.coded for why cutting is exact)."""
 
-    def __init__(self, path: str) -> None:
-        self.fast = ranked(path)
-        if self.fast is None:
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        if self.fast is not None:
-            encode = self.fast.encode_ordinary
-            for chunk in chunks:
-                self.new[chunk] = array("I", encode(chunk)).tobytes()
-            return
-        for lo in range(0, len(chunks), 50_000):
-            part = chunks[lo : lo + 50_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.new[chunk] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, some: list[str]) -> list[bytes]:
-        cut = [[text] if _SPACE_RUN.search(text) or text[:1] == " " or text[-1:] == " " else (" " + text).split(" ") for text in some]
-        # what stands before the first single space has none of its own, all later chunks keep theirs
-        cut = [c if len(c) == 1 else [c[1], *[" " + x for x in c[2:]]] for c in cut]
-        if len(self.new) >= CACHE:  # two generations: what was asked for lately stays, and memory is bounded
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for x in {x for c in cut for x in c} - new.keys():
-            if (got := old.get(x)) is None:
-                missing.append(x)
-            else:
-                new[x] = got
-        self.learn(missing)
-        return [b"".join(map(new.__getitem__, c)) for c in cut]
+def apart(ranks: dict[bytes, int], tokens: list[bytes], first: list[int]) -> bool:
+    """Whether merging by rank over each token's own bytes ends in that token, its last merge being the listed one. (A pair
+    met inside a text with another split of the token would be met here as well, as merges look at nothing but their parts.)"""
+    for token, cut in zip(tokens, first, strict=True):
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            best = min(((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 60, 0))
+            if best[0] >= ranks[token]:
+                return False
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        if len(parts[0]) != cut:
+            return False
+    return True
 
 
 _tokenizers: dict[str, Tokens] = {}
@@ -115,9 +122,9 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, ids: bool
         if path not in _tokenizers:
             _tokenizers[path] = Tokens(path)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch, rows = whole.slice(lo, 512), []
-                for doc, coded in zip(batch.column(0).to_pylist(), _tokenizers[path].encode(texts(batch)), strict=True):
+            for batch, some in stretches(whole, STRETCH):
+                rows = []
+                for doc, coded in zip(batch.column(0).to_pylist(), map(_tokenizers[path].one, some), strict=True):
                     coded += tail
                     n = len(coded) // 4
                     first = (n - 1) % size + 1

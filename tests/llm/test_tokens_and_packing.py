@@ -86,12 +86,28 @@ def test_encode_decode_rows(spark, library):
 
 def test_fast_tokens_equal_the_tokenizer():
     plain = Tokenizer.from_file(JSON)
-    plain.encode_special_tokens = True
     mine = packing.Tokens(JSON)
-    assert mine.fast is not None
+    assert mine.fast is not None and plain.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     texts = ODD + ["".join(random.Random(i).choices("abcé \n,.019日", k=40)) for i in range(200)]
-    for text, got in zip(texts, mine.encode(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    texts += ["x<|endoftext|>", " <|endoftext|><|endoftext|> y", "<|endoftext|", "a <|endoftext|> b", "<|endoftext|>\n\n<|endoftext|>s"]
+    slow = packing.Tokens(JSON)
+    slow.fast = None
+    for text in texts:
+        assert np.frombuffer(mine.one(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert slow.one(text) == mine.one(text)
+
+
+def test_only_plain_vocabularies_run_as_ranks():
+    import json
+
+    spec = json.load(open(JSON, encoding="utf-8"))
+    assert packing.byte_ranks(spec) is not None
+    first, second, *rest = spec["model"]["merges"]
+    assert packing.byte_ranks(spec | {"model": spec["model"] | {"merges": [second, first, *rest]}}) is None
+    assert packing.byte_ranks(spec | {"normalizer": {"type": "NFC"}}) is None
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4, b"abc": 5}
+    assert packing.apart(ranks, [b"ab", b"bc", b"abc"], [1, 1, 2])
+    assert not packing.apart(ranks, [b"ab", b"bc", b"abc"], [1, 1, 1])  # listed as a + bc, but ab merges first
 
 
 def check_packing(rows, size):
