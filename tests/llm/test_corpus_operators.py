@@ -162,9 +162,47 @@ def test_keep_one(spark):
     assert ngram_join.join(spark.createDataFrame([], DOC)).count() == 0
 
 
-def test_depth_meets_recall():
-    assert ngram_join.depth_for(0.8, 20, 8, 0.9999) == 4
-    assert 1 - (1 - 0.8**4) ** 20 >= 0.9999 > 1 - (1 - 0.8**5) ** 20
+def test_prefixes_are_shortened_to_the_recall():
+    assert ngram_join.shortened([], 0.8, 20, 8, 0.999) == 5
+    assert ngram_join.bound(0.8, 20, 5) >= 0.999 > ngram_join.bound(0.8, 20, 6)
+    assert ngram_join.shortened([1, 1, 1, 0.9999, 0.99, 0.9, 0.8, 0.7], 0.8, 20, 8, 0.999) == 4
+    assert ngram_join.shortened([1.0] * 8, 0.8, 20, 8, 0.9) == 8
+    assert ngram_join.shortened([0.5] * 8, 0.8, 20, 8, 0.9) == 1
+
+
+def test_recall_is_measured_on_exact_partners(spark):
+    rows = near_rows(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = ngram_join.signatures(docs, 20, 8, 5, 1000, 0.8)
+    got = {}
+    for r in seen.collect():
+        for m in r.met:
+            got.setdefault(m // 16, []).append((r.d, m % 16))
+    sets = {}
+    for d, t in rows:
+        sets.setdefault(frozenset(ngram_join.shingles(t or "").tolist()), []).append(d)
+    sets.pop(frozenset(), None)
+    pairs = sum(len(b) for x, a in sets.items() for y, b in sets.items() if x != y and len(x & y) >= 0.8 * len(x | y))
+    assert sum(map(len, got.values())) == pairs > 20
+    measured = ngram_join.recalls(seen, 8)
+    assert measured == sorted(measured, reverse=True) and measured[0] > 0.99
+
+
+def test_large_nodes_and_chance_meetings(spark, monkeypatch):
+    rows = near_rows(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_by_hand(rows)
+    monkeypatch.setattr(ngram_join, "NODE", 2)
+    assert sorted(tuple(r) for r in ngram_join.join(docs).collect()) == want
+    monkeypatch.setattr(ngram_join, "NODE", 10**6)
+    assert sorted(tuple(r) for r in ngram_join.join(docs, recall=1.1).collect()) == want  # nodes of one minimum: mostly chance
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 70_000}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short one")], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
 
 
 def test_adjacency_is_exact():
