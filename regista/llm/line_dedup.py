@@ -1,15 +1,18 @@
-"""Line dedup: repeated line runs found by distributed prefix doubling over line-ID sequences. DataFrame functions only.
-
-Every non-blank line is a symbol (its 128-bit hash), every document a sequence of symbols. The name of a run of 2n lines
-is made of the names of its two halves, so names of 1, 2, 4, ... lines take one self-join and one aggregation each; a run
-of any length is two overlapping runs of a power of two. A name is the first place (doc_id, then place in the document)
-where its run occurs: equal suffix prefixes get equal names, as in a suffix array's ranks, and a name at once tells the
-first copy. After each doubling only runs that occur at least twice stay, so the work shrinks with the repetition left.
-
-A start whose ``min_lines``-line run also occurs earlier has a common prefix of at least that length with an earlier
-suffix; such starts, overlapping, make up the maximal repeated runs: longer names would cover no further line. With
-``min_words``, shorter runs count too if they hold that many words, so that a long passage on one line is found; each
-length below ``min_lines`` then gets its names. All lines of such runs go; the first copy stays.
+"""Line dedup: maximal repeated line runs by distributed prefix doubling over line-ID sequences. DataFrame functions only.
+
+Every non-blank line is a symbol (its 128-bit hash), every document a sequence of symbols, every place in one a suffix.
+
+1. Prefix doubling names the suffixes' prefixes: the name of a run of 2n lines is made of the names of its two halves, so
+   each doubling takes one self-join and one aggregation. A name is the first place (doc_id, then place in the document)
+   where its run occurs. Suffixes with one name are an interval of the suffix array whose common prefix is at least that
+   long; its least place, which the name is, stands for the rank: equality and the first copy are all that is asked of
+   it, so no global sort is needed. Only intervals of two suffixes or more stay, and doubling goes on until none is left,
+   however long the repetition.
+2. A later copy is paired with the first copy of its longest named prefix. Of pairs that continue one another (both places
+   moved by one line) only the first, left-maximal one is kept; its longest common prefix is found by going down the
+   doubled lengths: where both suffixes have one name at the end of what is known, that length is added.
+3. These maximal repeated runs of at least ``min_lines`` lines are deleted from the later copy; the first copy stays. With
+   ``min_words``, shorter runs count too if they hold that many words, so that a long passage on one line is found.
 
 Cases: a null text has no lines and stays null; blank lines (only white space) are no symbols and always stay; rows of one
 doc_id with different texts are ordered by the text's hash, and rows repeated whole count as one document, so that all of
@@ -60,10 +63,61 @@ def following(runs: DataFrame, shift: int) -> DataFrame:
     return both.withColumn("words", F.col("words") + F.col("last")) if own else both
 
 
-def copied(runs: DataFrame, n: int) -> DataFrame:
-    """(d, k, pos) of the lines of runs of ``n`` lines that occur earlier."""
-    copies = runs.where(F.struct(*DOC, "pos") != F.col("name"))
-    return copies.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + (n - 1))).alias("pos"))
+def levels(lines: DataFrame, min_lines: int, min_words: int | None) -> list[tuple[int, DataFrame]]:
+    """(length, named runs of that length), from single lines over ``min_lines`` lines to the end of all repetition."""
+    runs, span = named(lines, "h", "g"), 1
+    out = [(span, runs)]
+    while span < min_lines:
+        shift = 1 if min_words else min(span, min_lines - span)
+        runs = named(following(runs, shift), "a", "b")
+        span += shift
+        out.append((span, runs))
+    while not runs.isEmpty():
+        runs = named(following(runs.select(*DOC, "pos", "name"), span), "a", "b")
+        span *= 2
+        out.append((span, runs))
+    return out
+
+
+def copies(runs: DataFrame, n: int) -> DataFrame:
+    """(d, k, pos, source, n): starts of runs of ``n`` lines that also occur earlier, and where first."""
+    return runs.where(F.struct(*DOC, "pos") != F.col("name")).select(*DOC, "pos", F.col("name").alias("source"), F.lit(n).alias("n"))
+
+
+def left_maximal(pairs: DataFrame) -> DataFrame:
+    """The pairs that no pair one line further left continues into."""
+    place = Window.partitionBy(*DOC).orderBy("pos")  # the lines of one document
+    before = F.lag(F.struct("pos", "source")).over(place)
+    was = before["source"]
+    same = (before["pos"] == F.col("pos") - 1) & (was["d"] == F.col("source.d")) & (was["k"] == F.col("source.k")) & (was["pos"] == F.col("source.pos") - 1)
+    return pairs.withColumn("same", F.coalesce(same, F.lit(False))).where("NOT same").drop("same")
+
+
+def extended(pairs: DataFrame, named_runs: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Pairs with ``n`` grown to their longest common prefix; ``n`` is the longest named length at which they agree."""
+    names = pairs.columns
+    for span, runs in sorted(named_runs, key=lambda x: -x[0]):
+        end = (F.col("pos") + F.col("n")).alias("at"), (F.col("source.pos") + F.col("n")).alias("source_at")
+        open_ = pairs.withColumn("top", F.col("n")) if "top" not in pairs.columns else pairs
+        own = runs.select(F.col("d"), F.col("k"), F.col("pos").alias("at"), F.col("name").alias("a"))
+        other = runs.select(F.col("d").alias("sd"), F.col("k").alias("sk"), F.col("pos").alias("source_at"), F.col("name").alias("b"))
+        met = open_.select("*", *end, F.col("source.d").alias("sd"), F.col("source.k").alias("sk")).join(own, [*DOC, "at"], "left").join(other, ["sd", "sk", "source_at"], "left")
+        longer = F.coalesce((F.col("a") == F.col("b")) & (F.col("top") > span), F.lit(False))
+        pairs = met.select(*DOC, "pos", "source", (F.col("n") + F.when(longer, F.lit(span)).otherwise(F.lit(0))).alias("n"), "top")
+    return pairs.select(*names)
+
+
+def maximal_runs(lines: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+    """(d, k, pos, source, n): runs of n lines from pos on that occur earlier, from ``source`` on. Every line of a run that
+    occurs earlier, of ``min_lines`` lines or ``min_words`` words, is in one of them."""
+    named_runs = levels(lines, min_lines, min_words)
+    found = [copies(runs, n) for n, runs in named_runs if n >= min_lines]
+    longest = reduce(DataFrame.unionByName, found).groupBy(*DOC, "pos").agg(F.max_by("source", "n").alias("source"), F.max("n").alias("n"))
+    pairs = materialize(left_maximal(longest), "pairs")
+    out = [extended(pairs, [x for x in named_runs if x[0] < named_runs[-1][0]])]
+    if min_words:
+        out += [copies(runs.where(F.col("words") >= min_words), n) for n, runs in named_runs if n < min_lines]
+    return materialize(reduce(DataFrame.unionByName, out), "maximal")
 
 
 def later_copies(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
@@ -71,14 +125,8 @@ def later_copies(docs: DataFrame, min_lines: int = 3, min_words: int | None = No
     that also occur earlier."""
     lines = symbols(docs)
     lines = materialize(lines if min_words else lines.drop("words", "last"), "lines")
-    runs, span, covered = named(lines, "h", "g"), 1, []
-    while span < min_lines:
-        if min_words:
-            covered.append(copied(runs.where(F.col("words") >= min_words), span))
-        shift = 1 if min_words else min(span, min_lines - span)
-        runs = named(following(runs, shift), "a", "b")
-        span += shift
-    covered = reduce(DataFrame.union, covered, copied(runs, min_lines)).distinct()
+    runs = maximal_runs(lines, min_lines, min_words)
+    covered = runs.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")).distinct()
     return lines.select(*DOC, "pos", "line_no").join(covered, [*DOC, "pos"]).distinct()
 
 

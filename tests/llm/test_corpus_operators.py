@@ -73,6 +73,20 @@ def test_line_runs_by_hand(spark, k):
     assert all(r.pos == "n" for r in got)
 
 
+def test_maximal_runs_by_hand(spark):
+    draw = random.Random(8)
+    rows = [(i, "\n".join(draw.choice("abc") for _ in range(draw.randrange(25)))) for i in range(12)] + [(20, "x\n" * 70), (21, "\n".join(map(str, range(50)))), (22, "\n".join(map(str, range(3, 47))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {d: [x for x in t.split("\n") if x] for d, t in rows}
+    runs = line_dedup.maximal_runs(line_dedup.symbols(docs).drop("words", "last"), 3).collect()
+    for r in runs:  # each is a common prefix that cannot grow to the right, and begins earlier
+        a, b = text[r.d][r.pos :], text[r.source.d][r.source.pos :]
+        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert r.n == n >= 3 and (r.source.d, r.source.pos) < (r.d, r.pos)
+    assert [(r.d, r.pos, r.source.d, r.source.pos, r.n) for r in runs if r.d == 22] == [(22, 0, 21, 3, 44)]
+    assert max(r.n for r in runs if r.d == 20) == 69
+
+
 @pytest.mark.parametrize("k", [2, 3, 5])
 def test_long_passages_by_hand(spark, k):
     draw = random.Random(k)
