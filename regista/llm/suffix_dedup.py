@@ -7,7 +7,9 @@ together with the bytes up to the end of the last start's string; it carries ``l
 so all suffixes that start in it are in order, up to ``length`` bytes, by the phrase's own bytes. Corpus order further on
 is never needed: a string repeats when two suffixes agree in their first ``length`` bytes.
 
-1. Parse occurrences (document, place, trigger hash, phrase hash) are kept where the trigger occurs at least twice.
+1. Parse occurrences (document, place, trigger hash, hash of the phrase's bytes) are kept where the trigger occurs at least
+   twice. A phrase that equals the one before it byte for byte (periodic text) is a later copy outright and goes into a
+   run, so that a run of one byte, however long, gives one phrase and one run.
 2. The dictionary holds each distinct phrase once, with its first occurrence. Every other occurrence of a phrase is a
    later copy outright: all its starts are repeats.
 3. The suffix array of the dictionary is built in buckets of triggers (suffixes with different triggers never agree):
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,10 @@ from regista.llm.common import NULL_ID, doc_key, id_key, materialize, texts
 
 LENGTH = 100
 K = 37
-#: Bytes parsed at a time (a longer text is parsed whole), and dictionary phrases sorted at a time.
-PARSE, BUCKET = 2_000_000, 20_000
+#: Bytes parsed at a time (a longer text comes in pieces), dictionary phrases sorted at a time, and starts in a row.
+PARSE, BUCKET, MOST = 2_000_000, 20_000, 60_000
+RUN = 0
+NAMES = ["d", "k", "q", "key", "phrase", "n"]
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_M), -1, 2**64))
@@ -52,11 +57,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power["up"][:n], _power["down"][:n]
 
 
-def tables() -> np.ndarray:
-    return np.random.default_rng(23).integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_TABLE = tables()
+_TABLE = np.random.default_rng(23).integers(0, 2**63, (2, 256), dtype=np.uint64)[0] * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,17 +70,36 @@ def prefix_sums(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * up)])
 
 
-def parse(raw: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(text, first start, number of starts, trigger's offset from the first start, trigger hash, phrase hash) of all phrases."""
-    size = np.array([len(r) for r in raw], np.int64)
+def pieces(raw: list[bytes], length: int = LENGTH, most: int = PARSE) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, place, bytes) lists to be parsed together, of about ``most`` bytes. A longer text comes in pieces that overlap
+    by ``length - 1`` bytes, so that each of its strings is in one piece; a phrase on the border becomes two."""
+    some, total = [], 0
+    for i, r in enumerate(raw):
+        for lo in range(0, max(1, len(r) - length + 1), most):
+            part = r[lo : lo + most + length - 1]
+            if some and total + len(part) > most:
+                yield some
+                some, total = [], 0
+            some.append((i, lo, part))
+            total += len(part)
+    if some:
+        yield some
+
+
+def parse(some: list[tuple[int, int, bytes]], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """(text, first start, number of starts, trigger's offset from the first start, trigger hash, phrase hash, whether it
+    is the same as the phrase before it) of all phrases."""
+    texts_, places = np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.int64)
+    size = np.array([len(x[2]) for x in some], np.int64)
     start = np.concatenate([[0], np.cumsum(size)])
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    joined = b"".join(x[2] for x in some)
+    data = np.frombuffer(joined, np.uint8)
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2)) + (np.zeros(0, bool),)
     _, down = powers(n + 1)
-    one, two = (prefix_sums(data, t) for t in _TABLE)
-    trigger = mixed((one[k:] - one[:-k]) * down[: n - k + 1])
+    trigger = prefix_sums(data, _TABLE)
+    trigger = mixed((trigger[k:] - trigger[:-k]) * down[: n - k + 1])
     # the least (hash, place) among the k-grams of each string
     least = (trigger & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(trigger), dtype=np.uint64)
     width, window = 1, length - k + 1
@@ -88,38 +108,53 @@ def parse(raw: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarra
         least = np.minimum(least[:-step], least[step:])
         width += step
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    text = np.repeat(np.arange(len(size)), size)
-    whole = text[: len(at)] == text[length - 1 : length - 1 + len(at)]
+    piece = np.repeat(np.arange(len(size)), size)
+    whole = piece[: len(at)] == piece[length - 1 : length - 1 + len(at)]
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (text[1 : len(at)] != text[: len(at) - 1])
+    new[1:] = (at[1:] != at[:-1]) | (piece[1 : len(at)] != piece[: len(at) - 1])
     first = np.flatnonzero(new & whole)
     breaks = np.append(np.flatnonzero(new | ~whole), len(at))
     end = breaks[np.searchsorted(breaks, first, "right")]
     number, offset = end - first, at[first] - first
-    phrase = mixed((two[end + length - 1] - two[first]) * down[first] + number.astype(np.uint64) * np.uint64(7919) + offset.astype(np.uint64))
-    owner = text[first]
-    return owner, first - start[owner], number, offset, trigger[at[first]], phrase
+    phrase = np.fromiter(map(xxhash.xxh3_64_intdigest, [joined[a:b] for a, b in zip(first.tolist(), (end + length - 1).tolist(), strict=True)]), np.uint64, len(first))
+    phrase = mixed(phrase + number.astype(np.uint64) * np.uint64(7919) + offset.astype(np.uint64))
+    owner = piece[first]
+    again = np.zeros(len(first), bool)
+    if len(first):
+        again[1:] = (phrase[1:] == phrase[:-1]) & (first[1:] == end[:-1]) & (owner[1:] == owner[:-1])
+        for i in np.flatnonzero(again).tolist() if again.sum() < 64 else ():
+            again[i] = joined[first[i] : end[i] + length - 1] == joined[first[i - 1] : end[i - 1] + length - 1]
+        if again.sum() >= 64:
+            for step in np.unique(number[again]).tolist():  # at most ``length`` periods
+                differ = np.append(0, np.cumsum(data[step:] != data[:-step]))
+                here = np.flatnonzero(again & (number == step))
+                again[here] = differ[end[here] + length - 1 - step] == differ[first[here] - step]
+    return texts_[owner], places[owner] + first - start[owner], number, offset, trigger[at[first]], phrase, again
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(d, k, q, key, phrase): the parse. ``q`` packs first start, number of starts and trigger offset, in this order."""
+    """(d, k, q, key, phrase, n): the parse. ``q`` packs first start, number of starts and trigger offset, in this order. A
+    phrase that repeats the one before it byte for byte is a later copy outright, and no other copy needs it; runs of such
+    phrases, as periodic text has them, become rows (p in place of q) with n, their number of starts, under the key RUN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [t.encode("utf-8", "replace") for t in texts(batch)]
             d, k = (batch.column(i).to_numpy() for i in (0, 1))
-            lo = 0
-            while lo < len(raw):
-                hi, total = lo, 0
-                while hi < len(raw) and (hi == lo or total + len(raw[hi]) <= PARSE):
-                    total += len(raw[hi])
-                    hi += 1
-                owner, first, number, offset, key, phrase = parse(raw[lo:hi])
-                cols = [d[lo + owner], k[lo + owner], first << 16 | number << 8 | offset, key.view(np.int64), phrase.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "k", "q", "key", "phrase"])
-                lo = hi
-
-    return docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").mapInArrow(run, "d long, k long, q long, key long, phrase long")
+            for some in pieces(raw):
+                owner, first, number, offset, key, phrase, again = parse(some)
+                cols = [x[~again] for x in (d[owner], k[owner], first << 16 | number << 8 | offset, key.view(np.int64), phrase.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(cols[0]), pa.int64())], names=NAMES)
+                if again.any():
+                    begin = np.flatnonzero(again & ~np.append(False, again[:-1]))
+                    total = np.add.reduceat(np.where(again, number, 0), begin)
+                    cut = -(-total // MOST)  # rows of at most MOST starts
+                    part = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
+                    cols = [np.repeat(d[owner[begin]], cut), np.repeat(k[owner[begin]], cut), np.repeat(first[begin], cut) + part * MOST]
+                    n = np.minimum(np.repeat(total, cut) - part * MOST, MOST)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(n), RUN)), pa.nulls(len(n), pa.int64()), pa.array(n)], names=NAMES)
+
+    return docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").mapInArrow(run, "d long, k long, q long, key long, phrase long, n long")
 
 
 def phrase_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -201,9 +236,10 @@ def hashed_starts(rows: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, hot: int = 4000) -> DataFrame:
     """(d, k, p, n): runs of n starts from p on whose ``LENGTH`` bytes also start earlier."""
-    parsed = occurrences(docs)
-    keys = materialize(parsed.groupBy("key").count().where("count > 1").select("key"), "triggers")
-    parsed = materialize(parsed.join(keys.hint("merge"), "key"), "parse")
+    whole = occurrences(docs)
+    keys = materialize(whole.groupBy("key").count().where(f"count > 1 OR key = {RUN}").select("key"), "triggers")
+    kept = materialize(whole.join(keys.hint("merge"), "key"), "parse")
+    parsed = kept.where("n IS NULL").drop("n")
     first = parsed.groupBy("key", "phrase").agg(F.min(F.struct("d", "k", "q")).alias("first"))
     dictionary = materialize(first, "dictionary")
     copies = parsed.join(dictionary.hint("merge"), ["key", "phrase"]).where(F.struct("d", "k", "q") != F.col("first"))
@@ -220,7 +256,7 @@ def repeats(docs: DataFrame, hot: int = 4000) -> DataFrame:
     starts = materialize(hashed_starts(rows.where(F.col("m") > hot)), "starts")
     least = starts.groupBy("h", "g").agg(F.min(F.struct("d", "k", "p")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = starts.join(materialize(least, "least"), ["h", "g"]).where(F.struct("d", "k", "p") != F.col("first")).select("d", "k", "p", F.lit(1).cast("long").alias("n"))
-    return copies.unionByName(sorted_).unionByName(later)
+    return copies.unionByName(sorted_).unionByName(later).unionByName(kept.where("n IS NOT NULL").select("d", "k", F.col("q").alias("p"), "n"))
 
 
 def dedup(docs: DataFrame, hot: int = 4000, kept: bool = False) -> DataFrame:

@@ -36,6 +36,32 @@ def test_suffix_dedup_by_hand(spark, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed_by_hand(rows)
 
 
+def test_suffix_dedup_of_pieces(spark, monkeypatch):
+    """Texts longer than what is parsed at a time, and rows of runs cut short."""
+    draw = random.Random(7)
+    base = "".join(draw.choices("abcdefgh ", k=900))
+    rows = [(1, base + "x" * 500 + base[200:]), (2, base[100:] + "ab" * 300), (3, "ab" * 260 + base), (4, base[:150])]
+    want = removed_by_hand(rows)
+    for most in (1, 150, 700, 5000):
+        monkeypatch.setattr(suffix_dedup.pieces, "__defaults__", (100, most))
+        some = [p for ps in suffix_dedup.pieces([t.encode() for _, t in rows]) for p in ps]
+        starts = sorted((i, lo + j) for i, lo, part in some for j in range(len(part) - 99))
+        assert starts == [(i, j) for i, (_, t) in enumerate(rows) for j in range(len(t) - 99)]
+    assert want == {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_suffix_dedup_of_runs(spark):
+    """Ten million times one byte, and long periods: few phrases."""
+    long = [(1, "a" * 10_000_000), (2, "b" + "a" * 300), (3, "abc" * 200_000), (4, "xyz" * 50 + "c" + "abc" * 100)]
+    parsed = [suffix_dedup.parse(some) for _, t in long for some in suffix_dedup.pieces([t.encode()])]
+    assert sum(int((~p[-1]).sum()) for p in parsed) < 300
+    got = {r.doc_id: tuple(r)[1:4] for r in suffix_dedup.dedup(spark.createDataFrame(long, "doc_id long, text string")).collect()}
+    assert got[1] == (10_000_000, 9_999_999, 1)
+    assert got[2] == (301, 300, 1)
+    assert got[3] == (600_000, 599_997, 1)
+    assert got[4] == removed_by_hand([(3, "abc" * 200), long[3]])[4][:3]
+
+
 def test_suffix_dedup_odd_rows(spark):
     text = "".join(random.Random(2).choices("abcdefgh ", k=400))
     rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (2, text, "c")]
