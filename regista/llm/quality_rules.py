@@ -189,7 +189,8 @@ def calibrate(rated: DataFrame, labels: DataFrame, cost: float, threshold: float
 def fit(docs: DataFrame, labels: DataFrame, trees: int = 100, tree_rows: int = 256, cost: float = 10.0, threshold: float = 0.6, seed: int = 7) -> tuple[DataFrame, Forest, float]:
     """(scored statistics of all documents, forest, threshold)."""
     stats = materialize(statistics(docs), "rules")
-    sample = smallest_hashes(stats.where("n_words >= 20"), trees * tree_rows, seed, "doc_id", *STATS)
+    # rows that repeat a document count once, so that no group of them fills the sample
+    sample = smallest_hashes(stats.where("n_words >= 20").distinct(), trees * tree_rows, seed, "doc_id", *STATS)
     rows = np.array([tuple(r) for r in sample.select(*STATS).collect()], np.int64).reshape(-1, len(STATS))
     forest = Forest(features(rows[~base_failed(rows)]), trees, tree_rows, seed)
     rated = scored(stats, forest)

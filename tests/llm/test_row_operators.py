@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -51,6 +52,46 @@ def test_quality_rules_rows(spark, sf):
     assert quality_rules.judge(rows.where("false"), labels.where("false")).count() == 0
 
 
+def path_by_hand(tree, x, height):
+    """Length of one row's path through a tree, by walking it."""
+    feature, split, left, right, path = tree
+    node, steps = 0, 0
+    while feature[node] >= 0:
+        node = left[node] if x[feature[node]] < split[node] else right[node]
+        steps += 1
+    assert steps <= height and path[node] >= steps
+    return path[node]
+
+
+def test_verdicts_by_hand(spark, sf):
+    """Scores from paths walked one by one, and the threshold that gains most on the labelled rows, tried one by one."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rated, forest, threshold = quality_rules.fit(docs, labels)
+    rows = rated.collect()
+    quality = {r.doc_id: r.quality for r in labels.orderBy("quality", ascending=False).collect()}
+    junk, clean = [], []
+    for r in rows:
+        x = quality_rules.features(np.array([[r[c] for c in quality_rules.STATS]]))[0]
+        if r.doc_id % 20 == 0:
+            mean = np.mean([path_by_hand(t, x, forest.height) for t in forest.trees])
+            assert abs(r.anomaly - 2 ** (-mean / forest.norm)) < 1e-9
+        if not r.base_failed and r.doc_id in quality:
+            (clean if quality[r.doc_id] > 0 else junk).append(r.anomaly)
+    gain = lambda t: np.mean([a >= t for a in junk]) - 10 * np.mean([a >= t for a in clean])
+    best = max(gain(k / quality_rules.BINS) for k in range(quality_rules.BINS + 1))
+    assert junk and clean and abs(gain(threshold) - best) < 1e-9
+    verdict = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert verdict == {r.doc_id: not r.base_failed and r.anomaly < threshold for r in rows}
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    rows = [(1, "the same text over and over again with more than twenty words in it so that it passes the base rule for length easily")] * 300
+    rows += [(i, " ".join(f"w{j % (i % 40 + 20)}x{i}" for j in range(60))) for i in range(2, 60)]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    _, forest, _ = quality_rules.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, trees=10, tree_rows=8)
+    assert sum((t[0] >= 0).any() for t in forest.trees) == 10
+
+
 def test_isolation_orders_outliers():
     draw = np.random.default_rng(0)
     rows = np.concatenate([draw.normal(size=(2000, 3)), [[9.0, 9, 9]]])
@@ -180,18 +221,30 @@ def test_table_is_fair_and_stable():
     assert abs(heavy[0] / heavy[1] - 3) < 0.05
 
 
+def table_by_hand(names, slots):
+    """Each shard's whole order of preference first, then turns."""
+    number = lambda name, salt: int.from_bytes(hashlib.md5(f"{salt}:{name}".encode()).digest()[:8], "big")
+    prefer = {n: [(number(n, "offset") + j * (number(n, "step") % (slots - 1) + 1)) % slots for j in range(slots)] for n in names}
+    owner = {}
+    while len(owner) < slots:
+        for n in names:
+            if len(owner) < slots:
+                owner[next(s for s in prefer[n] if s not in owner)] = n
+    assert all(sorted(p) == list(range(slots)) for p in prefer.values())
+    return owner
+
+
 def test_placement_by_hand(spark):
-    import hashlib
 
     names = [f"s{i}" for i in range(7)]
     rows = [(i, "t", "x") for i in range(300)] + [(None, None, None), (5, "t", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
     got = sharding.place(docs, "doc_id", names, 1009).collect()
-    table = sharding.fill(names, 1009)
+    table = table_by_hand(names, 1009)
     assert len(got) == len(rows)
     for r in got:
         slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % 1009
-        assert (r.slot, r.shard) == (slot, names[table[slot]])
+        assert (r.slot, r.shard) == (slot, table[slot])
     assert sharding.place(docs.where("false"), "doc_id", names, 1009).count() == 0
 
 
