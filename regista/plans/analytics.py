@@ -21,14 +21,20 @@ LENSES = [
     ("challengeNextMeeting", "band IN ('Now', 'Soon')", 10), ("uncertainOrConflicting", "register_name = 'Uncertainty' OR conflict", 40),
 ]
 VIEW_SQL["v_top"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, external_id) AS top FROM v_scored) WHERE top <= 200 AND status IS NOT NULL AND {_OPEN}"
-VIEW_SQL["v_lenses"] = " UNION ALL ".join(f"SELECT '{n}' AS lens, {m} AS most, project_id, external_id, due_date, top, score FROM v_top WHERE {w}" for n, w, m in LENSES)
+VIEW_SQL["v_two_hundred"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, external_id) AS top FROM v_scored) WHERE top <= 200"
+VIEW_SQL["v_lenses"] = " UNION ALL ".join(f"SELECT '{n}' AS lens, {m} AS most, project_id, external_id, due_date, top, score FROM v_top WHERE {w}" for n, w, m in LENSES) + " UNION ALL SELECT 'changesSinceLatestSource', 40, project_id, external_id, due_date, top, score FROM v_two_hundred WHERE latest"
 
 
-def leading(spark, sf) -> DataFrame:
-    """The 200 highest-scoring rows of each project (the cut comes first), then the open ones."""
+def two_hundred(spark, sf) -> DataFrame:
+    """The 200 highest-scoring rows of each project, and whether they are open."""
     w = Window.partitionBy("project_id").orderBy(F.desc("score"), "external_id")
     top = state.scored(spark, sf).withColumn("top", F.row_number().over(w)).where("top <= 200")
-    return top.where("status IS NOT NULL").where(~F.lower("status").rlike("resolved|closed|complete|superseded|rejected|ratified"))
+    return top.withColumn("is_open", F.coalesce(~F.lower("status").rlike("resolved|closed|complete|superseded|rejected|ratified"), F.lit(False)))
+
+
+def leading(spark, sf) -> DataFrame:
+    """The 200 highest-scoring rows of each project (the cut comes first), then the open ones."""
+    return two_hundred(spark, sf).where("is_open").drop("is_open")
 
 
 def sectioned(rows: DataFrame, sections: list[tuple[str, str, int]]) -> DataFrame:
@@ -40,7 +46,8 @@ def sectioned(rows: DataFrame, sections: list[tuple[str, str, int]]) -> DataFram
 @query("SELECT project_id, lens, external_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY project_id, lens ORDER BY CASE WHEN lens = 'dueNext' THEN due_date END, top) AS place FROM v_lenses) WHERE place <= most")
 def overview_lenses(spark, sf):
     order = Window.partitionBy("project_id", "lens").orderBy(F.when(F.col("lens") == "dueNext", F.col("due_date")), "top")
-    return sectioned(leading(spark, sf), LENSES).withColumn("place", F.row_number().over(order)).where("place <= most").select("project_id", "lens", "external_id", "score", "place")
+    lenses = [(n, f"is_open AND ({w})", m) for n, w, m in LENSES] + [("changesSinceLatestSource", "latest", 40)]
+    return sectioned(two_hundred(spark, sf), lenses).withColumn("place", F.row_number().over(order)).where("place <= most").select("project_id", "lens", "external_id", "score", "place")
 
 
 @query("SELECT n_nationkey AS project_id, CASE WHEN n_nationkey % 6 = 0 THEN 'pinned' WHEN c.project_id IS NOT NULL THEN 'changes' WHEN m.project_id IS NOT NULL THEN 'meeting' ELSE 'needs-consultant' END AS lead_mode FROM nation LEFT JOIN (SELECT DISTINCT project_id FROM v_rows JOIN v_ops ON external_id = target_id WHERE op_status = 'pending' AND changeset_id % 50 = project_id) c ON c.project_id = n_nationkey LEFT JOIN (SELECT DISTINCT project_id FROM v_state WHERE register_name = 'Milestones' AND due_date BETWEEN DATE '1998-08-01' AND DATE '1998-08-02') m ON m.project_id = n_nationkey")
@@ -55,16 +62,26 @@ def lead_mode(spark, sf):
 
 
 _TSTOP = "(" + ", ".join(f"'{s}'" for s in T.THEME_STOP) + ")"
-VIEW_SQL["v_titles"] = "SELECT project_id, row_id, array_to_string(string_split(coalesce(text, ''), ' ')[1:14], ' ') AS title, source FROM v_docrows"
+VIEW_SQL["v_titles"] = "SELECT project_id, row_id, coalesce(text, '') AS title, source FROM v_docrows"
 VIEW_SQL["v_title_tokens"] = f"SELECT DISTINCT project_id, row_id, unnest(list_distinct({tokens_sql('title', _TSTOP)})) AS token FROM v_titles"
 VIEW_SQL["v_token_df"] = "SELECT project_id, token, df, n_rows, df > greatest(3, ceil(0.25 * n_rows)) AS generic FROM (SELECT project_id, token, count(*) AS df FROM v_title_tokens GROUP BY ALL) JOIN (SELECT project_id, count(*) AS n_rows FROM v_docrows GROUP BY 1) USING (project_id)"
-VIEW_SQL["v_title_pairs"] = "SELECT a.project_id, a.row_id AS left_id, b.row_id AS right_id, count(*) AS shared, 2.0 * count(*) / (sa.n + sb.n) AS dice, bool_or(NOT d.generic) AS rare FROM v_title_tokens a JOIN v_title_tokens b ON a.project_id = b.project_id AND a.token = b.token AND a.row_id < b.row_id JOIN (SELECT row_id, count(*) AS n FROM v_title_tokens GROUP BY 1) sa ON sa.row_id = a.row_id JOIN (SELECT row_id, count(*) AS n FROM v_title_tokens GROUP BY 1) sb ON sb.row_id = b.row_id JOIN v_token_df d ON d.project_id = a.project_id AND d.token = a.token GROUP BY a.project_id, a.row_id, b.row_id, sa.n, sb.n"
-VIEW_SQL["v_lexical"] = "SELECT project_id, left_id, right_id, shared, dice FROM v_title_pairs WHERE shared >= 2 AND dice >= 0.6 AND rare"
+VIEW_SQL["v_title_heads"] = f"""SELECT project_id, row_id, min(row_id) OVER (PARTITION BY project_id, toks) AS head
+FROM (SELECT project_id, row_id, list_sort(list_distinct({tokens_sql('title', _TSTOP)})) AS toks FROM v_titles) WHERE len(toks) > 0"""
+VIEW_SQL["v_head_tokens"] = "SELECT t.* FROM v_title_tokens t JOIN v_title_heads h ON h.row_id = t.row_id AND h.row_id = h.head"
+VIEW_SQL["v_title_pairs"] = """SELECT a.project_id, a.row_id AS left_id, b.row_id AS right_id, count(*) AS shared, 2.0 * count(*) / (sa.n + sb.n) AS dice, bool_or(NOT d.generic) AS rare
+FROM v_head_tokens a JOIN v_head_tokens b ON a.project_id = b.project_id AND a.token = b.token AND a.row_id < b.row_id
+JOIN (SELECT row_id, count(*) AS n FROM v_title_tokens GROUP BY 1) sa ON sa.row_id = a.row_id JOIN (SELECT row_id, count(*) AS n FROM v_title_tokens GROUP BY 1) sb ON sb.row_id = b.row_id
+JOIN v_token_df d ON d.project_id = a.project_id AND d.token = a.token GROUP BY a.project_id, a.row_id, b.row_id, sa.n, sb.n"""
+VIEW_SQL["v_title_copies"] = """SELECT h.project_id, h.head AS left_id, h.row_id AS right_id, n AS shared, 1.0 AS dice FROM v_title_heads h
+JOIN (SELECT t.row_id, count(*) AS n, bool_or(NOT d.generic) AS rare FROM v_title_tokens t JOIN v_token_df d ON d.project_id = t.project_id AND d.token = t.token GROUP BY 1) s ON s.row_id = h.row_id
+WHERE h.row_id <> h.head AND n >= 2 AND rare"""
+VIEW_SQL["v_lexical"] = "SELECT project_id, left_id, right_id, shared, dice FROM v_title_pairs WHERE shared >= 2 AND dice >= 0.6 AND rare UNION ALL SELECT * FROM v_title_copies"
 
 
 def titles(spark, sf) -> DataFrame:
+    """The tables hold no titles of rows, so their whole text stands for one."""
     d = views.doc_rows(spark, sf)
-    return d.select("project_id", "row_id", F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 14), " ").alias("title"), "source")
+    return d.select("project_id", "row_id", F.coalesce("text", F.lit("")).alias("title"), "source")
 
 
 def title_tokens(spark, sf) -> DataFrame:
@@ -81,14 +98,18 @@ def token_df(spark, sf):
 
 
 def lexical(spark, sf) -> DataFrame:
-    """Pairs of titles with two shared tokens or more, Dice of 0.6 or more, and a shared token that isn't generic."""
-    t = title_tokens(spark, sf)
-    pairs = similarity.dice_pairs(t, 0.6).where("shared >= 2")
+    """Pairs of titles with two shared tokens or more, Dice of 0.6 or more, and a shared token that isn't generic. Of rows
+    with the same tokens the least is compared with others; the rest are linked to it."""
+    t = materialize(title_tokens(spark, sf).where(F.size("tokens") > 0), "titles")
+    heads = materialize(similarity.collapsed(t), "heads")
     rare = token_df(spark, sf).where("NOT generic").select("project_id", "token")
     long = t.select("project_id", "row_id", F.explode("tokens").alias("token")).join(rare, ["project_id", "token"])
-    mine = long.groupBy("row_id").agg(F.collect_set("token").alias("rare"))
+    mine = materialize(long.groupBy("row_id").agg(F.collect_set("token").alias("rare")), "rare")
+    pairs = similarity.dice_pairs(t.join(heads.where("row_id = head").select("row_id"), "row_id"), 0.6).where("shared >= 2")
     j = pairs.join(mine.withColumnRenamed("row_id", "left_id").withColumnRenamed("rare", "a"), "left_id").join(mine.withColumnRenamed("row_id", "right_id").withColumnRenamed("rare", "b"), "right_id")
-    return j.where(F.arrays_overlap("a", "b")).select("project_id", "left_id", "right_id", F.col("shared").cast("long").alias("shared"), "dice")
+    near = j.where(F.arrays_overlap("a", "b")).select("project_id", "left_id", "right_id", F.col("shared").cast("long").alias("shared"), "dice")
+    copies = heads.where("row_id <> head").join(t.select("row_id", F.size("tokens").cast("long").alias("shared")), "row_id").join(mine.select("row_id"), "row_id", "left_semi")
+    return near.unionByName(copies.where("shared >= 2").select("project_id", F.col("head").alias("left_id"), F.col("row_id").alias("right_id"), "shared", F.lit(1.0).alias("dice")))
 
 
 @query("SELECT project_id, left_id, right_id, shared, round(dice, 6) AS dice FROM v_lexical")

@@ -32,15 +32,16 @@ def vtt_segments(spark, sf):
 
 def letters(spark, sf) -> DataFrame:
     """Documents as e-mails: plain, base64 or quoted-printable by id."""
-    d = views.read(spark, sf, "documents").where("text IS NOT NULL AND doc_id % 5 = 0").select("doc_id", F.regexp_replace("text", r"[\r\n]+", "\n\n").alias("t"))
-    k = F.col("doc_id") % 2
-    code = F.when(k == 0, "base64").otherwise("8bit")
-    body = F.when(k == 0, F.base64(F.encode("t", "UTF-8"))).otherwise(F.col("t"))
+    d = views.read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"[\r\n]+", "\n\n").alias("t"))
+    k = F.col("doc_id") % 3
+    code = F.when(k == 0, "base64").when(k == 1, "quoted-printable").otherwise("8bit")
+    raw = F.encode("t", "UTF-8")
+    body = F.when(k == 0, F.base64(raw)).when(k == 1, F.regexp_replace(F.hex(raw), "(..)", "=$1")).otherwise(F.col("t"))
     head = F.concat(F.lit("From: Someone <s"), F.col("doc_id").cast("string"), F.lit("@example.org>\nSubject: Letter\n "), F.col("doc_id").cast("string"), F.lit("\nContent-Transfer-Encoding: "), code, F.lit("\n\n"))
     return d.select(F.col("doc_id").alias("source_id"), F.concat(head, body).alias("text"))
 
 
-@query("SELECT doc_id AS source_id, 1 + len(list_filter(string_split(regexp_replace(text, '[\\r\\n]+', chr(10), 'g'), chr(10)), lambda p: trim(p) <> '')) AS n_segments, 'Someone <s' || doc_id || '@example.org>' AS speaker, 'Letter ' || doc_id AS subject FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0")
+@query("SELECT doc_id AS source_id, 1 + len(list_filter(string_split(regexp_replace(text, '[\\r\\n]+', chr(10), 'g'), chr(10)), lambda p: trim(p) <> '')) AS n_segments, 'Someone <s' || doc_id || '@example.org>' AS speaker, 'Letter ' || doc_id AS subject FROM documents WHERE text IS NOT NULL")
 def eml_segments(spark, sf):
     """Segments, sender and subject of e-mails; the unfolded subject is their first segment."""
     s = files.mail_segments(letters(spark, sf))

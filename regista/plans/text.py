@@ -157,13 +157,17 @@ def boundary_scan(spark, sf):
     return hits.distinct()
 
 
-@query("SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT d.doc_id, d.source, CAST(1 + (d.n_chars % 2) AS INTEGER) AS version, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS cited, d.n_chars % 2 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS stale FROM documents d")
 def stale_sources(spark, sf):
-    """Sources of an old normaliser version (every fourth here) that no labelled result rests on."""
-    return views.read(spark, sf, "documents").where("doc_id % 4 = 0").select("doc_id", "source").join(views.read(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Every source with its normaliser version (of two; here by parity of its length) and whether a labelled result rests
+    on it; one of the old version that nothing rests on is stale."""
+    d = views.read(spark, sf, "documents").select("doc_id", "source", (1 + F.col("n_chars") % 2).cast("int").alias("version"))
+    cited = views.read(spark, sf, "labels").select("doc_id", F.lit(True).alias("cited")).distinct()
+    j = d.join(cited, "doc_id", "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+    return j.withColumn("stale", (F.col("version") == 1) & ~F.col("cited"))
 
 
-VIEW_SQL["v_windows"] = "SELECT source_id, window_seq, window_seq * 4 + 1 AS first_seq, least(window_seq * 4 + 6, last_seq) AS last_seq FROM (SELECT source_id, max(seq) AS last_seq FROM v_segments GROUP BY source_id), range(0, 400) r(window_seq) WHERE window_seq * 4 + 1 <= last_seq"
+VIEW_SQL["v_windows"] = "SELECT source_id, window_seq, window_seq * 4 + 1 AS first_seq, least(window_seq * 4 + 6, last_seq) AS last_seq FROM (SELECT source_id, max(seq) AS last_seq FROM v_segments GROUP BY source_id), LATERAL (SELECT unnest(range(0, CAST(last_seq AS BIGINT))) AS window_seq) r WHERE window_seq * 4 + 1 <= last_seq"
 
 
 def windows(spark, sf):
@@ -173,11 +177,11 @@ def windows(spark, sf):
     return w.select("source_id", "window_seq", (F.col("window_seq") * 4 + 1).alias("first_seq"), F.least(F.col("window_seq") * 4 + 6, "last").alias("last_seq"))
 
 
-@query("SELECT s.source_id, s.seq, min(w.window_seq) AS window_seq FROM v_segments s JOIN v_windows w ON s.source_id = w.source_id AND s.seq BETWEEN w.first_seq AND w.last_seq GROUP BY ALL")
+@query("SELECT s.source_id, s.seq, min(w.window_seq) AS window_seq FROM (SELECT DISTINCT source_id, seq FROM v_segments) s JOIN v_windows w ON s.source_id = w.source_id AND s.seq BETWEEN w.first_seq AND w.last_seq GROUP BY ALL")
 def segment_window(spark, sf):
-    """First window that covers a segment. The source is an equi-key; the range is tested within it."""
-    s, w = views.segments(spark, sf).select("source_id", "seq"), windows(spark, sf)
-    return s.join(w, "source_id").where("seq BETWEEN first_seq AND last_seq").groupBy("source_id", "seq").agg(F.min("window_seq").alias("window_seq"))
+    """First window that covers a segment: windows begin every fourth segment and hold six, so the number tells; no join."""
+    s = views.segments(spark, sf).where("source_id IS NOT NULL AND seq >= 1").select("source_id", "seq").distinct()
+    return s.select("source_id", "seq", F.greatest(F.lit(0), F.ceil((F.col("seq") - 6) / 4)).cast("long").alias("window_seq"))
 
 
 def greedy(sizes, target: int, overlap: int):
