@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ FAILURES = [
 ]
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used: plain columns would be written out again at
+    each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def fold(text: str | Column) -> Column:
     """Quotes and dashes made plain, lower case, white space (of any kind) collapsed and trimmed."""
     text = F.col(text) if isinstance(text, str) else text
@@ -85,7 +93,10 @@ def commits(folded: Column, pattern: str) -> Column:
 
 def markers(text: str | Column) -> Column:
     """Array of (marker_type, confidence, matched) of a segment, at most one of a type."""
-    f = fold(text)
+    return let(fold(text), markers_of_folded)
+
+
+def markers_of_folded(f: Column) -> Column:
     date = f.rlike(DATE_PHRASE) & f.rlike(COMMITMENT_CUE) & commits(f, DATE_PHRASE)
     time = f.rlike(SCHEDULED_TIME) & commits(f, SCHEDULED_TIME)
     act = f.rlike(LIVE_ACT) & (f.rlike(CONFIG_OBJECT) | F.regexp_extract(f, LIVE_ACT, 0).rlike(SYSTEM_VERB))
@@ -108,35 +119,57 @@ def last_working_day(day: Column) -> Column:
 
 
 def resolve_date(text: str | Column, event: str | Column) -> Column:
-    """(date, confidence) that a wording stands for, relative to an event's date; never an invented date."""
+    """(date, confidence, explanation) that a wording stands for, relative to an event's date; never an invented date."""
     text = F.trim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     event = F.col(event) if isinstance(event, str) else event
-    low = F.lower(F.regexp_replace(text, r"\s+", " "))
+    both = F.struct(text.alias("text"), F.lower(F.regexp_replace(text, r"\s+", " ")).alias("low"))
+    return let(both, lambda b: let(date_facts(b["text"], b["low"]), lambda f: dated(b["text"], b["low"], f, event)))
+
+
+# Wordings of dates.
+WEEKDAY = "sunday|monday|tuesday|wednesday|thursday|friday|saturday"
+HARD_STOP = r"hard\s*stop[^0-9]*(\d{4}-\d{2}-\d{2})"
+WEEK_COMMENCING = r"(?i)^(?:w/c|wc|week commencing)\b"
+MONTH_END = r"\b(?:month end|end of (?:the )?month)\b"
+WEEK_END = r"\b(?:end of (?:the )?week|by friday)\b"
+TWO_WEEKS = r"\b(?:couple of weeks|two weeks)\b"
+A_WEEK = r"\b(?:over the next week|next week|within a week)\b"
+UPCOMING = rf"\bnext\s+({WEEKDAY})\b"
+NUMBERED = rf"\b({WEEKDAY})(?:\s+the)?\s+(\d{{1,2}})(?:st|nd|rd|th)?\b"
+
+
+def date_facts(text: Column, low: Column) -> Column:
+    """What a wording holds that dates are made of."""
     iso = F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), 1)
-    hard = F.regexp_extract(low, r"hard\s*stop[^0-9]*(\d{4}-\d{2}-\d{2})", 1)
-    first, last = F.try_to_date(F.get(iso, F.lit(0))), F.try_to_date(F.try_element_at(iso, F.lit(-1)))
-    upcoming = F.regexp_extract(low, r"\bnext\s+(sunday|monday|tuesday|wednesday|thursday|friday|saturday)\b", 1)
-    number = F.coalesce(*[F.when(upcoming == d, i) for i, d in enumerate(_DAYS)])
-    ahead = (number - (F.dayofweek(event) - 1) + 7) % 7
-    named = F.regexp_extract(low, r"\b(sunday|monday|tuesday|wednesday|thursday|friday|saturday)(?:\s+the)?\s+(\d{1,2})(?:st|nd|rd|th)?\b", 1)
-    day = F.regexp_extract(low, r"\b(?:sunday|monday|tuesday|wednesday|thursday|friday|saturday)(?:\s+the)?\s+(\d{1,2})(?:st|nd|rd|th)?\b", 1).try_cast("int")
-    weekday = F.coalesce(*[F.when(named == d, i + 1) for i, d in enumerate(_DAYS)])
+    number = lambda name: F.coalesce(*[F.when(name == d, i) for i, d in enumerate(_DAYS)])
+    return F.struct(
+        F.size(iso).alias("n"), F.try_to_date(F.get(iso, F.lit(0))).alias("first"), F.try_to_date(F.try_element_at(iso, F.lit(-1))).alias("last"),
+        F.regexp_extract(low, HARD_STOP, 1).alias("hard"), number(F.regexp_extract(low, UPCOMING, 1)).alias("upcoming"),
+        number(F.regexp_extract(low, NUMBERED, 1)).alias("weekday"), F.regexp_extract(low, NUMBERED, 2).try_cast("int").alias("day"),
+    )
+
+
+def dated(text: Column, low: Column, f: Column, event: Column) -> Column:
+    """The first rule that holds."""
+    first, last, day = f["first"], f["last"], f["day"]
+    ahead = (f["upcoming"] - (F.dayofweek(event) - 1) + 7) % 7
     tries = []
     for shift in (0, 1, -1):
         month = F.trunc(F.add_months(event, shift), "MM")
-        tries.append(F.when((day >= 1) & (day <= F.dayofmonth(F.last_day(month))) & (F.dayofweek(F.date_add(month, day - 1)) == weekday), F.date_add(month, day - 1)))
+        fits = (day >= 1) & (day <= F.dayofmonth(F.last_day(month))) & (F.dayofweek(F.date_add(month, day - 1)) == f["weekday"] + 1)
+        tries.append(F.when(fits, F.date_add(month, day - 1)))
     said = F.coalesce(*tries)
-    out = lambda date, level: F.struct(date.cast("date").alias("date"), F.lit(level).alias("confidence"))
-    none = out(F.lit(None), "none")
+    out = lambda date, level, why: F.struct(date.cast("date").alias("date"), F.lit(level).alias("confidence"), F.lit(why).alias("explanation"))
+    none = lambda why: out(F.lit(None), "none", why)
     return (
-        F.when(text == "", none).when(hard != "", out(F.try_to_date(hard), "conditional")).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), out(first, "exact"))
-        .when(text.rlike(r"(?i)^(?:w/c|wc|week commencing)\b") & first.isNotNull(), out(F.date_sub(first, (F.dayofweek(first) + 5) % 7), "high"))
-        .when(F.size(iso) == 1, out(first, "high")).when(F.size(iso) > 1, out(last, "conditional")).when(event.isNull(), none)
-        .when(low.rlike(r"\b(?:month end|end of (?:the )?month)\b"), out(last_working_day(event), "medium"))
-        .when(low.rlike(r"\b(?:end of (?:the )?week|by friday)\b"), out(F.next_day(F.date_sub(event, 1), "FR"), "medium"))
-        .when(low.rlike(r"\b(?:couple of weeks|two weeks)\b"), out(F.date_add(event, 14), "low"))
-        .when(low.rlike(r"\b(?:over the next week|next week|within a week)\b"), out(F.date_add(event, 7), "low"))
-        .when(upcoming != "", out(F.date_add(event, F.when(ahead == 0, 7).otherwise(ahead).cast("int")), "high")).when(said.isNotNull(), out(said, "high")).otherwise(none)
+        F.when(text == "", none("no wording")).when(f["hard"] != "", out(F.try_to_date(f["hard"]), "conditional", "hard stop"))
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), out(first, "exact", "a date"))
+        .when(text.rlike(WEEK_COMMENCING) & first.isNotNull(), out(F.date_sub(first, (F.dayofweek(first) + 5) % 7), "high", "monday of the week"))
+        .when(f["n"] == 1, out(first, "high", "one date")).when(f["n"] > 1, out(last, "conditional", "last of several dates")).when(event.isNull(), none("no date to count from"))
+        .when(low.rlike(MONTH_END), out(last_working_day(event), "medium", "last working day of the month")).when(low.rlike(WEEK_END), out(F.next_day(F.date_sub(event, 1), "FR"), "medium", "friday of the week"))
+        .when(low.rlike(TWO_WEEKS), out(F.date_add(event, 14), "low", "two weeks on")).when(low.rlike(A_WEEK), out(F.date_add(event, 7), "low", "a week on"))
+        .when(f["upcoming"].isNotNull(), out(F.date_add(event, F.when(ahead == 0, 7).otherwise(ahead).cast("int")), "high", "next such weekday"))
+        .when(said.isNotNull(), out(said, "high", "weekday of that number")).otherwise(none("no rule"))
     )
 
 

@@ -50,8 +50,9 @@ def is_closed(status: str | Column) -> Column:
 
 
 def last_by(value: Column, when: Column, *order: str) -> Column:
-    """Latest value in event order among rows where ``when``; a struct, so that a null value differs from no event."""
-    return F.max_by(F.when(when, F.struct(value.alias("v"))), F.when(when, F.struct(*order)))
+    """Latest value in event order among rows where ``when``, with its place in that order; a struct, so that a null value
+    differs from no event."""
+    return F.max_by(F.when(when, F.struct(value.alias("v"), *order)), F.when(when, F.struct(*order)))
 
 
 def replay(events: DataFrame) -> DataFrame:
@@ -72,6 +73,13 @@ def replay(events: DataFrame) -> DataFrame:
     )
 
 
+def merge_replays(batch: DataFrame, state: DataFrame) -> DataFrame:
+    """The replay of all events from those of two parts of them: per field the later assertion counts."""
+    fields = ("status", "owner", "due_date", "resolution")
+    later = [F.max_by(f, F.struct(F.col(f)["occurred_at"], F.col(f)["event_seq"])).alias(f) for f in fields]
+    return batch.unionByName(state).groupBy("row_id").agg(*later, F.max("last_event_at").alias("last_event_at"), F.sum("n_events").alias("n_events"))
+
+
 def score(rows: DataFrame, as_of: Column, weights: dict = WEIGHTS) -> DataFrame:
     """``rows`` with due_days, closed, severity_label, score and band. Needs register_name, severity, likelihood, blocking,
     due_date, owner, status, created_on, n_events and the flags latest, superseding, conflict, uncertain."""

@@ -225,24 +225,37 @@ _STAMP = "CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+02:00')
 
 @query(f"SELECT event_id, CASE WHEN NOT regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(?:Z|[+-]\\d{{2}}:\\d{{2}})$') THEN 'not an instant' WHEN try_cast(substring(s, 1, 10) AS DATE) IS NULL THEN 'not a date' WHEN u > TIMESTAMP '2024-12-31' + INTERVAL 5 MINUTE THEN 'future' WHEN u < TIMESTAMP '2000-01-01' THEN 'too early' ELSE 'ok' END AS outcome FROM (SELECT event_id, s, try_cast(replace(substring(s, 1, 19), 'T', ' ') AS TIMESTAMP) - CASE WHEN s LIKE '%+02:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS u FROM (SELECT event_id, {_STAMP} AS s FROM events))")
 def event_time_check(spark, sf):
-    """Instants: written with an offset, of a real date, neither in the future (five minutes are allowed) nor before 2000."""
-    ts = F.col("ts")
+    return views.read(spark, sf, "events").select("event_id", time_outcome().alias("outcome"))
+
+
+def time_outcome():
+    """Instants (here written from ``ts`` in five forms): with an offset, of a real date, neither in the future (five minutes
+    are allowed) nor before 2000."""
+    ts = F.col("ts").cast("timestamp_ntz")
     iso = lambda t, tail: F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(tail))
     k = F.col("event_id") % 5
-    said = F.when(k == 0, iso(ts, "+02:00")).when(k == 1, iso(ts, "Z")).when(k == 2, F.date_format(ts, "yyyy-MM-dd")).when(k == 3, "2024-02-31T10:00:00Z").otherwise(iso(F.expr("ts + INTERVAL 1 YEAR"), "Z"))
-    e = views.read(spark, sf, "events").withColumn("s", said).withColumn("u", F.try_to_timestamp("s", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    said = F.when(k == 0, iso(ts, "+02:00")).when(k == 1, iso(ts, "Z")).when(k == 2, F.date_format(ts, "yyyy-MM-dd")).when(k == 3, "2024-02-31T10:00:00Z").otherwise(iso(ts + F.expr("INTERVAL 1 YEAR"), "Z"))
+    at = F.try_to_timestamp(said, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
     form = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})$"
-    outcome = F.when(~F.col("s").rlike(form), "not an instant").when(F.try_to_date(F.substring("s", 1, 10)).isNull(), "not a date").when(F.col("u") > F.expr("TIMESTAMP '2024-12-31 00:05:00'"), "future").when(F.col("u") < F.expr("TIMESTAMP '2000-01-01'"), "too early").otherwise("ok")
-    return e.select("event_id", outcome.alias("outcome"))
+    return (
+        F.when(~said.rlike(form), "not an instant").when(F.try_to_date(F.substring(said, 1, 10)).isNull(), "not a date").when(at > F.expr("TIMESTAMP '2024-12-31 00:05:00'"), "future")
+        .when(at < F.expr("TIMESTAMP '2000-01-01'"), "too early").otherwise("ok")
+    )
 
 
 @query("SELECT e.event_seq, e.field, f.field IS NOT NULL AS allowed FROM v_events e JOIN v_rows r ON e.row_id = r.external_id LEFT JOIN (SELECT r.register_name, f.field FROM (SELECT unnest(" + views._quoted(views.REGISTERS) + ") AS register_name) r, (SELECT unnest(['status','owner','due_date','resolution','title','summary']) AS field) f WHERE NOT (r.register_name IN ('Entities','Sources') AND f.field = 'due_date')) f ON f.register_name = r.register_name AND f.field = e.field WHERE e.field IS NOT NULL")
 def event_field_check(spark, sf):
-    """Fields a human event may name, by register: a literal table of at most nine by six rows."""
+    return field_allowed(views.events(spark, sf).where("field IS NOT NULL"), spark, sf).select("event_seq", "field", "allowed")
+
+
+def field_allowed(events: DataFrame, spark, sf) -> DataFrame:
+    """``events``, streamed or not, of known rows with ``allowed``: whether a human event may name the field in the row's
+    register; a literal table of at most nine by six rows."""
     pairs = [(r, f) for r in views.REGISTERS for f in ("status", "owner", "due_date", "resolution", "title", "summary") if not (r in ("Entities", "Sources") and f == "due_date")]
     legal = spark.createDataFrame(pairs, "register_name string, field string").withColumn("legal", F.lit(True))
-    e = views.events(spark, sf).where("field IS NOT NULL").join(views.rows(spark, sf).select("external_id", "register_name"), F.col("row_id") == F.col("external_id"))
-    return e.join(F.broadcast(legal), ["register_name", "field"], "left").select("event_seq", "field", F.coalesce("legal", F.lit(False)).alias("allowed"))
+    rows = views.rows(spark, sf).select("external_id", "register_name")
+    e = events.join(rows, F.col("row_id") == F.col("external_id"))
+    return e.join(F.broadcast(legal), ["register_name", "field"], "left").withColumn("allowed", F.coalesce("legal", F.lit(False)))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 29 = 0 THEN 'deleted' WHEN o_orderkey % 31 = 0 THEN 'changed' END AS breach FROM orders WHERE o_orderkey % 29 = 0 OR o_orderkey % 31 = 0")

@@ -32,11 +32,13 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}" + (",\n" + body[4:].lstrip() if body.upper().startswith("WITH") else "\n" + body)
 
 
-def query(sql: str | None = None, name: str | None = None) -> Callable:
+def query(sql: str | None = None, name: str | None = None, complete: bool = False) -> Callable:
+    """Register a function under its name, or ``name``; ``complete`` SQL holds the views it needs already."""
+
     def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[name or function.__name__] = function
         if sql:
-            ORACLES[name or function.__name__] = with_views(sql)
+            ORACLES[name or function.__name__] = sql if complete else with_views(sql)
         return function
 
     return add

@@ -100,11 +100,16 @@ def provenance_backfill(spark, sf):
 
 @query("SELECT event_id, CASE WHEN event_id % 4 >= 3 THEN 'quarantine' ELSE 'requeue' END AS action, CASE WHEN event_id % 3 = 0 THEN 'lease expired' ELSE 'quiet' END AS why FROM events WHERE event_type = 'view' AND ((event_id % 3 = 0 AND ts + INTERVAL 10 MINUTE < TIMESTAMP '2024-01-20') OR (event_id % 3 <> 0 AND ts <= TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE))")
 def stalled_jobs(spark, sf):
+    return stalled(views.read(spark, sf, "events"))
+
+
+def stalled(events: DataFrame) -> DataFrame:
     """Jobs in flight whose lease ran out, or without a lease and quiet for ten minutes; by attempts requeued or set aside."""
-    at = F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
     leased = F.col("event_id") % 3 == 0
-    late = F.when(leased, F.expr("ts + INTERVAL 10 MINUTES") < at).otherwise(F.col("ts") <= F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00' - INTERVAL 10 MINUTES"))
-    e = views.read(spark, sf, "events").where("event_type = 'view'").where(late)
+    ts = F.col("ts").cast("timestamp_ntz")
+    at = F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+    late = F.when(leased, ts + F.expr("INTERVAL 10 MINUTES") < at).otherwise(ts <= at - F.expr("INTERVAL 10 MINUTES"))
+    e = events.where("event_type = 'view'").where(late)
     return e.select("event_id", F.when(F.col("event_id") % 4 >= 3, "quarantine").otherwise("requeue").alias("action"), F.when(leased, "lease expired").otherwise("quiet").alias("why"))
 
 

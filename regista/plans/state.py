@@ -11,6 +11,7 @@ from regista.operators import scoring
 from regista.operators.scoring import folded
 from regista.plans import views
 from regista.plans.registry import query
+from regista.plans.store import materialize
 from regista.plans.views import VIEW_SQL
 
 AS_OF = views.AS_OF
@@ -93,8 +94,13 @@ def as_of():
 
 
 def current(spark: SparkSession, sf: str) -> DataFrame:
-    """Register rows in their current state: events win over what the row says."""
-    r, e = views.rows(spark, sf), scoring.replay(views.events(spark, sf))
+    """Register rows in their current state."""
+    return with_events(views.rows(spark, sf), views.events(spark, sf))
+
+
+def with_events(r: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows after the events on them: events win over what the row says."""
+    e = scoring.replay(events)
     joined = r.alias("r").join(e.alias("e"), F.col("r.external_id") == F.col("e.row_id"), "left")
     own = F.when(~scoring.is_unowned("r.owner"), F.col("r.owner"))
     either = lambda field, otherwise: F.when(F.col(f"e.{field}").isNotNull(), F.col(f"e.{field}.v")).otherwise(otherwise)
@@ -108,7 +114,8 @@ def current(spark: SparkSession, sf: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """The current state with the flags that the score needs."""
-    s, r = current(spark, sf), views.rows(spark, sf)
+    r = materialize(views.rows(spark, sf), "rows")  # read four times below
+    s = with_events(r, views.events(spark, sf))
     newest = r.groupBy("project_id").agg(F.max_by("source_id", F.struct("created_on", "source_id")).alias("latest_source"))
     pending = ops(spark, sf).where("op = 'conflict' AND op_status = 'pending'").select(F.col("target_id").alias("external_id"), F.lit(True).alias("conflict")).distinct()
     open_ = r.where("register_name = 'Uncertainty'").where(~F.lower("status").contains("resolved")).select("project_id", F.col("external_id").alias("related_id"), F.lit(True).alias("uncertain"))
@@ -123,7 +130,11 @@ def scored(spark: SparkSession, sf: str, weights: dict = scoring.WEIGHTS) -> Dat
 
 @query("SELECT row_id, status, owner, due_date, resolution, has_status, has_owner, has_due, has_resolution, n_events FROM v_replayed")
 def replay_state(spark, sf):
-    e = scoring.replay(views.events(spark, sf))
+    return asserted(scoring.replay(views.events(spark, sf)))
+
+
+def asserted(e: DataFrame) -> DataFrame:
+    """A replay's values, and which of them were asserted at all."""
     have = {"has_status": "status", "has_owner": "owner", "has_due": "due_date", "has_resolution": "resolution"}
     return e.select("row_id", *[F.col(c)["v"].alias(c) for c in have.values()], *[F.col(c).isNotNull().alias(n) for n, c in have.items()], "n_events")
 

@@ -122,13 +122,17 @@ WHEN regexp_matches(low, '\\b(?:month end|end of (?:the )?month)\\b') THEN CAST(
 WHEN regexp_matches(low, '\\b(?:end of (?:the )?week|by friday)\\b') THEN event_date + CAST((5 - dayofweek(event_date) + 7) % 7 AS INTEGER) WHEN regexp_matches(low, '\\b(?:couple of weeks|two weeks)\\b') THEN event_date + 14 WHEN regexp_matches(low, '\\b(?:over the next week|next week|within a week)\\b') THEN event_date + 7
 WHEN nextday IS NOT NULL THEN event_date + CAST(CASE WHEN nextday = dayofweek(event_date) THEN 7 ELSE (nextday - dayofweek(event_date) + 7) % 7 END AS INTEGER) WHEN said IS NOT NULL THEN said END AS resolved,
 CASE WHEN hard <> '' THEN 'conditional' WHEN len(iso) = 1 OR (regexp_matches(text, '(?i)^(?:w/c|wc|week commencing)\\b') AND len(iso) > 0) THEN 'high' WHEN len(iso) > 1 THEN 'conditional' WHEN regexp_matches(low, '\\b(?:month end|end of (?:the )?month|end of (?:the )?week|by friday)\\b') THEN 'medium'
-WHEN regexp_matches(low, '\\b(?:couple of weeks|two weeks|over the next week|next week|within a week)\\b') THEN 'low' WHEN nextday IS NOT NULL OR said IS NOT NULL THEN 'high' ELSE 'none' END AS confidence FROM (
+WHEN regexp_matches(low, '\\b(?:couple of weeks|two weeks|over the next week|next week|within a week)\\b') THEN 'low' WHEN nextday IS NOT NULL OR said IS NOT NULL THEN 'high' ELSE 'none' END AS confidence,
+CASE WHEN hard <> '' THEN 'hard stop' WHEN regexp_matches(text, '(?i)^(?:w/c|wc|week commencing)\\b') AND len(iso) > 0 THEN 'monday of the week' WHEN len(iso) = 1 THEN 'one date' WHEN len(iso) > 1 THEN 'last of several dates'
+WHEN regexp_matches(low, '\\b(?:month end|end of (?:the )?month)\\b') THEN 'last working day of the month' WHEN regexp_matches(low, '\\b(?:end of (?:the )?week|by friday)\\b') THEN 'friday of the week'
+WHEN regexp_matches(low, '\\b(?:couple of weeks|two weeks)\\b') THEN 'two weeks on' WHEN regexp_matches(low, '\\b(?:over the next week|next week|within a week)\\b') THEN 'a week on'
+WHEN nextday IS NOT NULL THEN 'next such weekday' WHEN said IS NOT NULL THEN 'weekday of that number' ELSE 'no rule' END AS explanation FROM (
 SELECT *, (SELECT min_by(c, o) FROM (VALUES (0), (1), (-1)) t(s), (SELECT 1), LATERAL (SELECT CASE s WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS o, try_cast(strftime(date_trunc('month', event_date) + to_months(s), '%Y-%m-') || lpad(dom, 2, '0') AS DATE) AS c) WHERE c IS NOT NULL AND dayname(c) = upper(wd[1]) || wd[2:]) AS said FROM (
 SELECT *, lower(text) AS low, regexp_extract_all(text, '\\b(\\d{4}-\\d{2}-\\d{2})\\b') AS iso, regexp_extract(lower(text), 'hard\\s*stop[^0-9]*(\\d{4}-\\d{2}-\\d{2})', 1) AS hard,
 CASE regexp_extract(lower(text), '\\bnext\\s+(sunday|monday|tuesday|wednesday|thursday|friday|saturday)\\b', 1) WHEN 'sunday' THEN 0 WHEN 'monday' THEN 1 WHEN 'tuesday' THEN 2 WHEN 'wednesday' THEN 3 WHEN 'thursday' THEN 4 WHEN 'friday' THEN 5 WHEN 'saturday' THEN 6 END AS nextday,
 regexp_extract(lower(text), '\\b(sunday|monday|tuesday|wednesday|thursday|friday|saturday)(?:\\s+the)?\\s+(\\d{1,2})(?:st|nd|rd|th)?\\b', 1) AS wd, regexp_extract(lower(text), '\\b(sunday|monday|tuesday|wednesday|thursday|friday|saturday)(?:\\s+the)?\\s+(\\d{1,2})(?:st|nd|rd|th)?\\b', 2) AS dom FROM v_notes))""")
 def resolve_dates(spark, sf):
-    return views.notes(spark, sf).select("note_id", T.resolve_date("text", "event_date").alias("r")).select("note_id", F.col("r.date").alias("resolved"), "r.confidence")
+    return views.notes(spark, sf).select("note_id", T.resolve_date("text", "event_date").alias("r")).select("note_id", F.col("r.date").alias("resolved"), "r.confidence", "r.explanation")
 
 
 def _redact_sql(c: str) -> str:

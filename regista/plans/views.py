@@ -10,14 +10,14 @@ REGISTERS = ["Decisions", "Actions", "Risks_Issues", "Config_Changes", "Open_Que
 
 # Sentences of v_notes: each kind of wording that the text rules look for, by o_orderkey % 24.
 NOTES = [
-    "I will send the permit counts by friday",
+    "I will mail the meter readings by friday",
     "Action: confirm the cutover date with the client",
     "Risk: the payroll migration may slip before month end",
-    "Decision: keep the isolation register in the new system",
-    "Question: who signs off the permit template?",
-    "Let me tick that box in the settings now",
-    "We finished the last batch by friday last month",
-    "Please capture that as a decision for the register",
+    "Decision: keep the pump register in the new system",
+    "Question: who signs off the valve drawings?",
+    "Let me tick one more option in the settings now",
+    "The valves were all checked by friday last year",
+    "Please record that as a decision for the register",
     "The workshop is on monday 14th at 10:30 with the vendor",
     "We need to close the register by the end of the week",
     "It cannot export more than limited to fifty records",
@@ -52,7 +52,11 @@ def _quoted(values: list[str]) -> str:
 
 def rows(spark: SparkSession, sf: str) -> DataFrame:
     """Register rows: a project is a nation, a row an order, its owner the customer."""
-    o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
+    return register_rows(read(spark, sf, "orders"), read(spark, sf, "customer"))
+
+
+def register_rows(o: DataFrame, c: DataFrame) -> DataFrame:
+    """Orders, streamed or not, with their customers as register rows."""
     key = F.col("o_orderkey")
     status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'Resolved' WHEN 'P' THEN 'pending ratification' ELSE 'open' END")
     severity = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' END")
@@ -75,7 +79,11 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """The log of human events on register rows."""
-    e = read(spark, sf, "events")
+    return event_rows(read(spark, sf, "events"))
+
+
+def event_rows(e: DataFrame) -> DataFrame:
+    """Rows of the event log, streamed or not, as human events."""
     return e.select(
         F.col("event_id").alias("event_seq"), F.col("ts").cast("timestamp").alias("occurred_at"), F.col("user_id").alias("row_id"),
         F.expr("CASE WHEN event_type = 'purchase' THEN element_at(array('complete','resolve','ratify','reject','park','reopen','close'), CAST(event_id % 7 + 1 AS INT)) WHEN event_type = 'error' THEN 'reaffirm' ELSE 'update' END").alias("verb"),

@@ -1,25 +1,62 @@
-"""Streaming jobs over the event log and document folders; each equals its batch twin on the same rows."""
+"""Streaming jobs over the event log and document folders; each equals its batch twin on the same rows.
+
+Nothing that grows with the stream is kept in the driver: results and states are tables by epoch in the shared folder, and a
+job that starts again from its checkpoint goes on from the last of them. An epoch that is run again after a failure
+overwrites its own table, so its effect is the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-
-
-from regista.plans.store import materialize
-
 EVENTS = S.StructType([
     S.StructField("event_id", S.LongType()), S.StructField("ts", S.TimestampNTZType()), S.StructField("user_id", S.LongType()),
     S.StructField("event_type", S.StringType()), S.StructField("value", S.DoubleType()), S.StructField("props", S.StringType()),
 ])
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: S.StructType, files_per_trigger: int = 1) -> DataFrame:
+    """Files of a folder as a stream of rows."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
 def event_stream(spark: SparkSession, folder: str, name: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
-    """The event log (files of a folder) as a stream, with ``ts`` as an instant that a watermark accepts."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The event log as a stream, with ``ts`` as an instant that a watermark accepts."""
+    return table_stream(spark, folder, name, EVENTS, files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+class Epochs:
+    """Tables by epoch in a folder of the shared store. An empty one stands at its start, so that it can always be read."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: S.StructType) -> None:
+        self.spark, self.folder, self.schema = spark, folder, schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/epoch=-1")
+
+    def write(self, rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
+
+    def _path(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+
+    def known(self) -> list[int]:
+        """Numbers of the epochs that are written, from the names in the folder."""
+        path = self._path()
+        names = [s.getPath().getName() for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)]
+        return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/epoch={e}" for e in self.known()])
+
+    def before(self, epoch: int) -> DataFrame:
+        """The last table before an epoch."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/epoch={max(e for e in self.known() if e < epoch)}")
+
+    def last(self) -> DataFrame:
+        return self.before(2**62)
 
 
 def activity_counts(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "2 hours") -> DataFrame:
@@ -35,76 +72,66 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return counted.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def rejected(events: DataFrame) -> DataFrame:
-    """Events that may not enter the log: outside the bounds of time, or naming no correctable field."""
-    why = F.when(F.col("ts").isNull(), "no instant").when(F.col("ts") < F.lit("2000-01-01").cast("timestamp"), "too early").when(F.col("event_type") == "signup", "not correctable")
-    return events.withColumn("reason", why).where("reason IS NOT NULL").select("event_id", "user_id", "reason")
-
-
-def merge_state(batch: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Latest (ts, event_id) per row and field: an older event that arrives late never wins."""
-    new = batch.select(F.col("user_id").alias("row_id"), F.col("event_type").alias("field"), F.col("value"), F.struct("ts", "event_id").alias("at"))
-    both = new if state is None else new.unionByName(state)
-    return both.groupBy("row_id", "field").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+class Folded:
+    """A ``foreachBatch`` sink that folds batches into a state: ``merge(batch, state)`` gives the next state. The state of each
+    epoch is a table; the next epoch, also after a restart, takes up the last one before it."""
 
-
-class LiveState:
-    """A ``foreachBatch`` sink that keeps the current state as a snapshot, swapped after each batch. A batch that is run
-    again after a failure gives the same snapshot, because the merge is idempotent."""
-
-    def __init__(self) -> None:
-        self.now: DataFrame | None = None
+    def __init__(self, spark: SparkSession, folder: str, schema: S.StructType, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        self.merge, self.states = merge, Epochs(spark, folder, schema)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        self.now = materialize(merge_state(batch, self.now), f"state-{epoch}")
-
+        self.states.write(self.merge(batch, self.states.before(epoch)), epoch)
 
-def stalled(events: DataFrame, now: str, quiet: str = "10 minutes") -> DataFrame:
-    """Jobs (users' views) whose last update is older than the quiet time, as of an instant."""
-    last = events.where("event_type = 'view'").groupBy("user_id").agg(F.max("ts").alias("last"), F.count("*").alias("attempts"))
-    return last.where(F.col("last") < F.expr(f"TIMESTAMP '{now}' - INTERVAL {quiet}")).select("user_id", F.when(F.col("attempts") > 3, "quarantine").otherwise("requeue").alias("action"))
+    def now(self) -> DataFrame:
+        return self.states.last()
 
 
 FILES = S.StructType([S.StructField("path", S.StringType()), S.StructField("modificationTime", S.TimestampType()), S.StructField("length", S.LongType()), S.StructField("content", S.BinaryType())])
+ACCEPTED = "hash string, path string, kind string, length long"
+REFUSED = "hash string, path string, reason string"
 
 
 def inbox(spark: SparkSession, folder: str) -> DataFrame:
     """New files of a folder as a stream: names of temporary files are ignored."""
-    files = spark.readStream.format("binaryFile").schema(FILES).load(folder)
+    return named_files(spark.readStream.format("binaryFile").schema(FILES).load(folder))
+
+
+def named_files(files: DataFrame) -> DataFrame:
     return files.where(~F.col("path").rlike(r"(?:^|/)(?:~\$|\.)[^/]*$|\.(?:tmp|part|crdownload)$"))
 
 
 class Inbox:
     """A ``foreachBatch`` sink: complete files with content not seen before are accepted, others rejected with a reason."""
 
-    def __init__(self) -> None:
-        self.accepted: DataFrame | None = None
-        self.refused: DataFrame | None = None
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        schema = lambda ddl: spark.createDataFrame([], ddl).schema
+        self._accepted = Epochs(spark, f"{folder}/accepted", schema(ACCEPTED))
+        self._refused = Epochs(spark, f"{folder}/refused", schema(REFUSED))
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         from regista.sources.files import completeness, typed
 
         seen = typed(batch).withColumn("reason", completeness("kind", "content"))
         first = seen.where("reason IS NULL").groupBy("hash").agg(F.min_by(F.struct("path", "kind", "length"), "path").alias("f")).select("hash", "f.*")
-        if self.accepted is not None:
-            first = first.join(self.accepted.select("hash"), "hash", "left_anti")
-        first = materialize(first, f"accepted-{epoch}")
-        bad = materialize(seen.where("reason IS NOT NULL").select("hash", "path", "reason"), f"refused-{epoch}")
-        self.accepted = first if self.accepted is None else self.accepted.unionByName(first)
-        self.refused = bad if self.refused is None else self.refused.unionByName(bad)
+        known = self._accepted.spark.read.schema(self._accepted.schema).parquet(*[f"{self._accepted.folder}/epoch={e}" for e in self._accepted.known() if e < epoch])
+        self._accepted.write(first.join(known.select("hash"), "hash", "left_anti"), epoch)
+        self._refused.write(seen.where("reason IS NOT NULL").select("hash", "path", "reason"), epoch)
 
+    def accepted(self) -> DataFrame:
+        return self._accepted.all()
 
-def contested_alerts(proposals: DataFrame, state: DataFrame) -> DataFrame:
-    """Proposals (row_id, field, proposed, source_at), streamed or not, against a state snapshot (row_id, field, value, at):
-    those that differ from a value a human set after the source was written."""
-    late = F.col("at.ts") > F.col("source_at")
-    return proposals.join(state, ["row_id", "field"]).where(late & ~F.col("proposed").eqNullSafe(F.col("value"))).select("row_id", "field", "proposed", "value")
+    def refused(self) -> DataFrame:
+        return self._refused.all()
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and read its result."""
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return stream.sparkSession.table(name)
+def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Let a stream work off what is there now."""
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now into tables in ``folder`` and read its result: of all epochs, or, where each holds
+    the complete result, of the last."""
+    out = Epochs(stream.sparkSession, f"{folder}/rows", stream.schema)
+    run(stream, out.write, f"{folder}/checkpoint", mode)
+    return out.last() if mode == "complete" else out.all()
