@@ -55,3 +55,10 @@ def completeness(spark, sf):
     k = F.col("source_id") % 4
     text = F.when(k == 0, F.concat("text", F.lit("\n\n00:10:00.000 --> 00:10:20.000"))).when(k == 1, "").otherwise(F.col("text"))
     return t.select("source_id", F.lit("vtt").alias("kind"), F.encode(text, "UTF-8").alias("content")).select("source_id", files.completeness("kind", "content").alias("reason"))
+
+
+@query("""SELECT doc_id || '.docx' AS path, k, CASE WHEN k = 0 THEN 'Heading1' ELSE '' END AS style, text FROM (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM documents) WHERE text <> ''""")
+def docx_segments(spark, sf):
+    """Paragraphs of Word files, built here from the documents, with their styles."""
+    return files.docx_segments(files.docx_files(views.read(spark, sf, "documents"), "doc_id")).withColumn("k", F.col("k").cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regista.operators.scoring import folded
 from regista.plans import views
+from regista.sources import imports
 from regista.plans.registry import query
 
 
@@ -90,3 +91,60 @@ def exploded(rows: DataFrame) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT external_id, '{c}' AS field, coalesce('\"' || {c} || '\"', 'null') AS value_json, lower(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))) AS normalised FROM v_rows" for c in _EAV))
 def eav_fields(spark, sf):
     return exploded(views.rows(spark, sf))
+
+
+_KIND = "CASE l_returnflag WHEN 'A' THEN 'actions' WHEN 'R' THEN 'risksIssues' ELSE 'milestones' END"
+
+
+def portfolio_documents(spark, sf) -> DataFrame:
+    """Orders written as portfolio documents, one project each, its lines as actions, risks and milestones."""
+    li = views.read(spark, sf, "lineitem")
+    record = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"), F.col("l_linestatus").alias("status"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("dueDate"))
+    of = lambda name: F.collect_list(F.when(F.expr(_KIND) == name, record)).alias(name)
+    lists = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[of(n) for n in ("actions", "risksIssues", "milestones")])
+    o = views.read(spark, sf, "orders").join(lists, "o_orderkey", "left")
+    project = F.struct(F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("code"), "actions", "risksIssues", "milestones")
+    return o.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.array(project).alias("projects"))).alias("text"))
+
+
+@query(f"""SELECT 'projects' AS entity, 'P' || o_orderkey AS project_id, 'P' || o_orderkey AS id, o_orderpriority AS title, NULL AS status, NULL AS due_on FROM orders
+UNION ALL SELECT {_KIND}, 'P' || l_orderkey, l_orderkey || '-' || l_linenumber, 'Part ' || l_partkey, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
+def import_entities(spark, sf):
+    """Portfolio documents taken apart: one row per record of each entity, with its project."""
+    tables = imports.portfolio_text(portfolio_documents(spark, sf))
+    none = F.lit(None).cast("string")
+    out = tables["projects"].select(F.lit("projects").alias("entity"), F.col("id").alias("project_id"), "id", F.col("name").alias("title"), none.alias("status"), none.alias("due_on"))
+    for name in imports.ENTITIES:
+        out = out.unionByName(tables[name].select(F.lit(name).alias("entity"), "project_id", "id", "title", "status", F.col("dueDate").alias("due_on")))
+    return out
+
+
+def packet_documents(spark, sf) -> DataFrame:
+    """Orders written as register packets: odd lines as a plain list of decisions, even ones as an object of actions, under
+    three names of the id (none for small quantities), and a register nobody knows. Orders of high value arrive twice;
+    those in progress name another code than that of the project they are sent to."""
+    li = views.read(spark, sf, "lineitem")
+    ident = F.when(F.col("l_quantity") >= 5, (F.col("l_partkey") % 4).cast("string"))
+    names = ("ID", "External-ID", "ref")
+    row = F.struct(*[F.when(F.col("l_linenumber") % 3 == k, ident).alias(n) for k, n in enumerate(names)], F.col("l_linestatus").alias("status"))
+    lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.when(F.col("l_linenumber") % 2 == 1, row)).alias("odd"), F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, row)).alias("even"))
+    o = views.read(spark, sf, "orders").join(lines, "o_orderkey", "left")
+    code = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    named = F.when(F.col("o_orderstatus") == "P", "elsewhere").otherwise(code)
+    text = F.to_json(F.struct(named.alias("project_code"), F.col("o_orderkey").alias("number"), F.col("odd").alias("Decisions"), F.struct(F.col("even").alias("rows")).alias("Actions"), F.col("odd").alias("Unknown")))
+    key = F.col("o_orderkey").cast("string")
+    sent = F.when(F.col("o_totalprice") > 250000, F.array(key, F.concat(key, F.lit("-again")))).otherwise(F.array(key))
+    return o.select(F.explode(sent).alias("packet"), code.alias("code"), text.alias("text"))
+
+
+@query("""WITH sent AS (
+  SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS packet, CASE WHEN o_orderstatus = 'P' THEN 'code mismatch' END AS refused FROM orders
+  UNION ALL SELECT o_orderkey, o_orderkey || '-again', 'same content' FROM orders WHERE o_totalprice > 250000),
+line AS (
+  SELECT packet, CASE WHEN l_linenumber % 2 = 1 THEN 'Decisions' ELSE 'Actions' END AS register_name, CASE WHEN l_quantity >= 5 THEN CAST(l_partkey % 4 AS VARCHAR) END AS external_id
+  FROM sent JOIN lineitem ON l_orderkey = o_orderkey WHERE refused IS NULL)
+SELECT packet, register_name, external_id, CASE WHEN external_id IS NULL THEN 'missing id' WHEN count(*) OVER (PARTITION BY packet, register_name, external_id) > 1 THEN 'repeated id' END AS reason FROM line
+UNION ALL SELECT packet, NULL, NULL, refused FROM sent WHERE refused IS NOT NULL""")
+def register_import(spark, sf):
+    """Register packets taken apart, with what is refused and why."""
+    return imports.imported(packet_documents(spark, sf), views.REGISTERS)

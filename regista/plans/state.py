@@ -11,8 +11,9 @@ from regista.operators import scoring
 from regista.operators.scoring import folded
 from regista.plans import views
 from regista.plans.registry import query
-from regista.plans.store import materialize
+from regista.plans.store import materialize, shared_dir
 from regista.plans.views import VIEW_SQL
+from regista.sources import sinks
 
 AS_OF = views.AS_OF
 OPS = ["add", "update", "resolve", "supersede", "reaffirm", "conflict", "possible_duplicate"]
@@ -286,3 +287,11 @@ def typed_details(spark, sf):
     keyed = raw.withColumn("raw", F.transform_keys("raw", lambda k, v: F.regexp_replace(F.lower(k), "[^a-z0-9]+", "_")))
     of = lambda register, key: F.when(F.col("register_name") == register, F.col("raw")[key])
     return keyed.select("id", of("Decisions", "brand").alias("option_brand"), of("Risks_Issues", "impact_type").alias("impact_type"), of("Config_Changes", "cost").alias("cost_text"), "register_name")
+
+
+@query("SELECT project_id, count(*) AS n_rows, sum(score) AS score, count(DISTINCT external_id) AS n_ids FROM v_scored GROUP BY project_id")
+def snapshot_scores(spark, sf):
+    """Scored rows written as a snapshot partitioned by project, and what a reader of it finds."""
+    rows = scored(spark, sf).select("external_id", "project_id", "status", "owner", "due_date", "score", "band")
+    back = sinks.read_snapshot(spark, sinks.write_snapshot(rows, shared_dir(spark), "scores"), rows)
+    return back.groupBy("project_id").agg(F.count("*").alias("n_rows"), F.sum("score").alias("score"), F.count_distinct("external_id").alias("n_ids"))

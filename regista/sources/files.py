@@ -103,6 +103,26 @@ def mail_segments(documents: DataFrame, id_: str = "source_id", text: str = "tex
     return m.select(id_, "sender", F.posexplode(parts).alias("k", "part")).select(id_, (F.col("k") + 1).alias("seq"), F.col("sender").alias("speaker"), F.trim("part").alias("text"))
 
 
+def docx_files(documents: DataFrame, id_: str = "source_id", text: str = "text") -> DataFrame:
+    """(path, content): texts as Word files, a paragraph for each line, the first one a heading."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
+        for batch in batches:
+            out = []
+            for body in batch.body:
+                lines = [x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") for x in (body or "").split("\n")]
+                paragraphs = "".join(f"<w:p>{'' if i else style}<w:r><w:t>{x}</w:t></w:r></w:p>" for i, x in enumerate(lines))
+                file = io.BytesIO()
+                with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("word/document.xml", f"<w:document>{paragraphs}</w:document>")
+                out.append(file.getvalue())
+            yield pd.DataFrame({"path": batch.path, "content": out})
+
+    named = documents.select(F.concat(F.col(id_).cast("string"), F.lit(".docx")).alias("path"), F.col(text).alias("body"))
+    return named.mapInPandas(run, "path string, content binary")
+
+
 def docx_xml(files: DataFrame) -> DataFrame:
     """(path, xml): the main part of Word files. Only the unzipping is Python; a file that is no zip has a null."""
 

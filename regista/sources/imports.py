@@ -14,8 +14,17 @@ ID_NAMES = "id external_id externalid ref reference item_id row_id register_id d
 
 
 def portfolio(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """One table per entity of portfolio documents, each row with its project."""
-    projects = spark.read.schema(_PORTFOLIO).option("multiLine", "true").json(path).select(F.inline("projects"))
+    """One table per entity of portfolio documents in files, each row with its project."""
+    return entities(spark.read.schema(_PORTFOLIO).option("multiLine", "true").json(path))
+
+
+def portfolio_text(documents: DataFrame, text: str = "text") -> dict[str, DataFrame]:
+    """The same of documents held as JSON text in a column."""
+    return entities(documents.select(F.from_json(text, _PORTFOLIO).alias("d")).select("d.*"))
+
+
+def entities(documents: DataFrame) -> dict[str, DataFrame]:
+    projects = documents.select(F.inline("projects"))
     tables = {"projects": projects.select("id", "name", "code", "owner")}
     for e in ENTITIES:
         tables[e] = projects.select(F.col("id").alias("project_id"), F.inline(e))
@@ -30,6 +39,16 @@ def import_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def screened(documents: DataFrame) -> DataFrame:
+    """``documents`` (packet, code, text) with ``refused``: why a packet is not read at all. The first packet (by name) of a
+    content counts, a later one changes nothing; a packet that names another project's code is rejected."""
+    d = documents.withColumn("hash", F.sha2("text", 256))
+    first = d.groupBy("code", "hash").agg(F.min("packet").alias("first"))
+    j = d.join(first, ["code", "hash"], "left")
+    named = F.get_json_object("text", "$.project_code")
+    return j.withColumn("refused", F.when(F.col("packet") != F.col("first"), "same content").when(named.isNotNull() & (named != F.col("code")), "code mismatch")).drop("first", "hash")
+
+
 def packets(documents: DataFrame, registers: list[str]) -> DataFrame:
     """(packet, register_name, external_id, row, reason): rows of register packets given as JSON text. Registers may be arrays
     or objects that hold rows; unknown ones are skipped; a missing or repeated id rejects a row."""
@@ -45,3 +64,11 @@ def packets(documents: DataFrame, registers: list[str]) -> DataFrame:
     j = keyed.join(repeated, F.col("packet").eqNullSafe(F.col("p")) & F.col("register_name").eqNullSafe(F.col("r")) & F.col("external_id").eqNullSafe(F.col("e")))
     reason = F.when(F.col("external_id").isNull(), "missing id").when(F.col("n") > 1, "repeated id")
     return j.select("packet", "register_name", "external_id", "row", reason.alias("reason"))
+
+
+def imported(documents: DataFrame, registers: list[str]) -> DataFrame:
+    """(packet, register_name, external_id, reason) of all packets: their rows, or one row that says why they are refused."""
+    seen = screened(documents)
+    taken = packets(seen.where("refused IS NULL"), registers).select("packet", "register_name", "external_id", "reason")
+    none = F.lit(None).cast("string")
+    return taken.unionByName(seen.where("refused IS NOT NULL").select("packet", none.alias("register_name"), none.alias("external_id"), F.col("refused").alias("reason")))
