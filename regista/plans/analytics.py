@@ -85,7 +85,7 @@ def titles(spark, sf) -> DataFrame:
 
 
 def title_tokens(spark, sf) -> DataFrame:
-    return titles(spark, sf).select("project_id", "row_id", F.array_distinct(T.tokens("title", T.THEME_STOP)).alias("tokens"))
+    return views.spread(titles(spark, sf)).select("project_id", "row_id", F.array_distinct(T.tokens("title", T.THEME_STOP)).alias("tokens"))
 
 
 @query("SELECT * FROM v_token_df")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regista.operators.ranking import placed
 from regista.plans import state, views
 from regista.plans.registry import query
 from regista.plans.views import VIEW_SQL
@@ -52,8 +53,8 @@ def urgency_of_rows(spark, sf):
 @query("SELECT project_id, external_id, row_number() OVER (PARTITION BY project_id ORDER BY CASE urgency WHEN 'now' THEN 0 WHEN 'soon' THEN 1 ELSE 2 END, due_date NULLS LAST, external_id) AS place FROM v_attention")
 def attention_order(spark, sf):
     rank = F.when(F.col("urgency") == "now", 0).when(F.col("urgency") == "soon", 1).otherwise(2)
-    order = Window.partitionBy("project_id").orderBy(rank, F.col("due_date").asc_nulls_last(), "external_id")
-    return attention(spark, sf).select("project_id", "external_id", F.row_number().over(order).alias("place"))
+    rows = attention(spark, sf).select("project_id", "external_id", "due_date", rank.alias("rank"))
+    return placed(rows, ["project_id"], [F.col("rank"), F.col("due_date").asc_nulls_last(), F.col("external_id")], "place").select("project_id", "external_id", "place")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 24 HOUR AND value > 5")
@@ -102,8 +103,9 @@ def entity_reads(spark, sf):
     r = views.rows(spark, sf).where("register_name = 'Risks_Issues'")
     low = F.lower("severity")
     rank = F.when(low == "critical", 0).when(low == "high", 1).when(low == "medium", 2).when(low == "low", 3).otherwise(4)
-    w = Window.partitionBy("project_id")
-    return r.select("project_id", "external_id", "severity", F.row_number().over(w.orderBy(F.col("severity").desc_nulls_last(), "external_id")).alias("lexical_place"), F.row_number().over(w.orderBy(rank, "external_id")).alias("ranked_place"))
+    r = r.select("project_id", "external_id", "severity", rank.alias("rank"))
+    r = placed(r, ["project_id"], [F.col("severity").desc_nulls_last(), F.col("external_id")], "lexical_place")
+    return placed(r, ["project_id"], [F.col("rank"), F.col("external_id")], "ranked_place").drop("rank")
 
 
 @query("SELECT external_id, title, status, due_date FROM v_rows WHERE (contains(lower(title), 'machinery') OR contains(lower(coalesce(owner, '')), '99') OR contains(lower(coalesce(severity, '')), 'crit')) AND status = 'open'")

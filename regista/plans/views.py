@@ -41,6 +41,13 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if they come in fewer partitions than those, as one small file does; large tables stay as they
+    are. For work on texts that takes far longer than a shuffle of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The element of a short literal list at an index."""
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
