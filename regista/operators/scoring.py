@@ -105,3 +105,26 @@ def score(rows: DataFrame, as_of: Column, weights: dict = WEIGHTS) -> DataFrame:
         .when(F.col("score") >= bands["now"], "Now").when(F.col("score") >= bands["soon"], "Soon").when(F.col("score") >= bands["watch"], "Watch").otherwise("Reference")
     )
     return out.withColumn("band", band)
+
+
+def faults(weights: dict) -> list[str]:
+    """What makes a version of the weights invalid: parts that are missing or no numbers, bands out of order."""
+    found = [f"{part} missing" for part in ("register", "severity", "likelihood", "flags", "urgency", "ownership", "bands", "stale_days") if part not in weights]
+    for part, value in weights.items():
+        numbers = value.values() if isinstance(value, dict) else [value]
+        if any(isinstance(n, bool) or not isinstance(n, (int, float)) for n in numbers):
+            found.append(f"{part} not numeric")
+    bands = weights.get("bands", {})
+    if not found and not bands.get("now", 0) > bands.get("soon", 0) > bands.get("watch", 0):
+        found.append("bands out of order")
+    return found
+
+
+def active(versions: list[tuple[str, bool, dict]]) -> tuple[str, dict]:
+    """The one active valid version of (name, active, weights); anything else is an error."""
+    chosen = [(name, weights) for name, on, weights in versions if on]
+    if len(chosen) != 1:
+        raise ValueError(f"exactly one version of the weights must be active, not {len(chosen)}")
+    if found := faults(chosen[0][1]):
+        raise ValueError(f"the active version is invalid: {', '.join(found)}")
+    return chosen[0]

@@ -113,9 +113,31 @@ def stalled(events: DataFrame) -> DataFrame:
     return e.select("event_id", F.when(F.col("event_id") % 4 >= 3, "quarantine").otherwise("requeue").alias("action"), F.when(leased, "lease expired").otherwise("quiet").alias("why"))
 
 
-@query("SELECT kind, count(*) AS n_notes, kind = 'transient' AS retryable FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), {q(p)}) THEN '{k}'" for k, p in T.FAILURES) + " ELSE 'unknown' END AS kind FROM v_notes) GROUP BY kind")
+#: What an operator does about each kind of failure; "budget" is told by a run's tokens, not by its text.
+RECOVERY = {
+    "cli-missing": "install the provider's program on the path, then retry",
+    "cli-too-old": "upgrade the provider's program, then retry; the same version fails again",
+    "model-unsupported": "configure a model that the provider offers, then retry",
+    "auth": "sign in to the provider, then retry",
+    "transient": "retry when the provider can be reached",
+    "budget": "raise the budget or cut the source into smaller windows, then retry",
+    "unknown": "read the recorded error, then retry",
+}
+#: Tokens (here a customer's number modulo 1,000) beyond which a run is over its budget.
+BUDGET = 950
+_RECOVERY = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in RECOVERY.items()) + " END"
+
+
+@query(
+    f"SELECT kind, count(*) AS n_notes, kind IN ('transient', 'unknown') AS retryable, {_RECOVERY} AS recovery FROM (SELECT CASE WHEN source_id % 1000 > {BUDGET} THEN 'budget' "
+    + " ".join(f"WHEN regexp_matches(lower(text), {q(p)}) THEN '{k}'" for k, p in T.FAILURES) + " ELSE 'unknown' END AS kind FROM v_notes) GROUP BY kind"
+)
 def failure_kinds(spark, sf):
-    return views.notes(spark, sf).groupBy(T.failure_kind("text").alias("kind")).agg(F.count("*").alias("n_notes")).select("kind", "n_notes", (F.col("kind") == "transient").alias("retryable"))
+    """Failed runs by kind, whether a retry may help as things are, and what to do."""
+    kind = F.when(F.col("source_id") % 1000 > BUDGET, "budget").otherwise(T.failure_kind("text"))
+    recovery = F.create_map(*[F.lit(x) for kv in RECOVERY.items() for x in kv])
+    n = views.notes(spark, sf).groupBy(kind.alias("kind")).agg(F.count("*").alias("n_notes"))
+    return n.select("kind", "n_notes", F.col("kind").isin("transient", "unknown").alias("retryable"), recovery[F.col("kind")].alias("recovery"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n_runs, CAST(sum(CAST(value * 100 AS DECIMAL(18, 0))) AS BIGINT) AS tokens, CASE WHEN grouping(user_id) = 1 AND grouping(event_type) = 1 THEN 'all' WHEN grouping(event_type) = 1 THEN 'source' WHEN grouping(user_id) = 1 THEN 'model' ELSE 'cell' END AS level FROM events GROUP BY CUBE (user_id, event_type)")

@@ -179,12 +179,27 @@ EARLIER = copy.deepcopy(scoring.WEIGHTS) | {"bands": {"now": 100, "soon": 60, "w
 VIEW_SQL["v_scored_earlier"] = scored_sql(EARLIER)
 
 
-@query("SELECT a.band AS band, b.band AS earlier_band, count(*) AS n_rows, count_if(a.band <> b.band) AS n_changed FROM v_scored a JOIN v_scored_earlier b USING (external_id) GROUP BY a.band, b.band")
+BROKEN = copy.deepcopy(scoring.WEIGHTS) | {"bands": {"now": 30, "soon": 60, "watch": 90}}
+#: Versions of the weights, one of them active.
+VERSIONS = [("current", True, scoring.WEIGHTS), ("earlier", False, EARLIER), ("broken", False, BROKEN)]
+
+
+@query("""SELECT 'earlier' AS version, a.band AS band, b.band AS version_band, count(*) AS n_rows, count_if(a.band <> b.band) AS n_changed FROM v_scored a JOIN v_scored_earlier b USING (external_id) GROUP BY a.band, b.band
+UNION ALL SELECT 'current', band, band, count(*), 0 FROM v_scored GROUP BY band""")
 def rescore_versions(spark, sf):
-    """Band changes between two versions of the weights. The facts are computed once and both versions read them."""
-    both = scoring.score(facts(spark, sf), as_of()).withColumnRenamed("band", "now_band")
-    both = scoring.score(both.drop("score"), as_of(), EARLIER).withColumnRenamed("band", "earlier_band").withColumnRenamed("now_band", "band")
-    return both.groupBy("band", "earlier_band").agg(F.count("*").alias("n_rows"), F.count_if(F.col("band") != F.col("earlier_band")).alias("n_changed"))
+    """Bands of all rows under every valid version of the weights against the active one, and how many change. The facts are
+    computed once; a version with faults is left out, and none or several active ones are an error."""
+    _, weights = scoring.active(VERSIONS)
+    found = materialize(facts(spark, sf), "facts")
+    now = scoring.score(found, as_of(), weights).select("external_id", F.col("band"))
+    out = None
+    for name, _, version in VERSIONS:
+        if not scoring.faults(version):
+            then = scoring.score(found, as_of(), version).select("external_id", F.col("band").alias("version_band"))
+            j = now.join(then, "external_id").groupBy("band", "version_band").agg(F.count("*").alias("n_rows"), F.count_if(F.col("band") != F.col("version_band")).alias("n_changed"))
+            j = j.select(F.lit(name).alias("version"), "band", "version_band", "n_rows", "n_changed")
+            out = j if out is None else out.unionByName(j)
+    return out
 
 
 @query(f"SELECT project_id, {_ownership('owner')} AS ownership, count(*) AS n_rows FROM v_rows GROUP BY ALL")

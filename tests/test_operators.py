@@ -213,3 +213,27 @@ def test_classes_of_differences_by_hand(spark):
         2: "benchmark-disagreement", 4: "alternative-decomposition", 6: "genuine-miss", 8: "genuine-miss", 1: "benchmark-disagreement", 3: "alternative-decomposition",
         5: "alternative-decomposition", 7: "possible-duplicate", 9: "alternative-decomposition", 11: "genuine-addition",
     }
+
+
+def test_versions_of_the_weights():
+    weights = scoring.WEIGHTS
+    assert scoring.faults(weights) == []
+    assert scoring.faults({k: v for k, v in weights.items() if k != "bands"}) == ["bands missing"]
+    assert scoring.faults(weights | {"stale_days": "many"}) == ["stale_days not numeric"]
+    assert scoring.faults(weights | {"bands": {"now": 1, "soon": 2, "watch": 3}}) == ["bands out of order"]
+    assert scoring.active([("a", True, weights), ("b", False, {})])[0] == "a"
+    for bad in ([("a", False, weights)], [("a", True, weights), ("b", True, weights)], [("a", True, {})]):
+        with pytest.raises(ValueError):
+            scoring.active(bad)
+
+
+def test_places_in_groups(spark):
+    from regista.operators.ranking import placed
+
+    draw = random.Random(2)
+    rows = [("a" if i % 3 else "b", i, draw.randrange(5) or None) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id long, v int").repartition(7)
+    got = {r.id: r.place for r in placed(df, ["g"], [F.col("v").desc_nulls_last(), F.col("id")], "place").collect()}
+    for g in "ab":
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        assert [got[r[1]] for r in want] == list(range(1, len(want) + 1))
