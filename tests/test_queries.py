@@ -47,10 +47,20 @@ def test_every_oracle_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-def test_the_library_stands_without_the_subpackage():
+def test_the_library_stands_without_the_subpackage(tmp_path):
+    """In a copy without the subpackage and its pipeline everything else imports and is registered."""
     import pathlib
+    import shutil
+    import subprocess
+    import sys
 
-    root = pathlib.Path(catalog.__file__).parent
-    for path in root.rglob("*.py"):
-        if "llm" not in path.parts:
+    root = pathlib.Path(catalog.__file__).parent.parent
+    for path in (root / "regista").rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
             assert "regista.llm" not in path.read_text()
+    shutil.copytree(root / "regista", tmp_path / "regista", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') and '_' in n and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) == len(QUERIES)
