@@ -39,7 +39,7 @@ from regista.llm.common import NULL_ID, doc_key, id_key, materialize, texts
 LENGTH = 100
 K = 37
 #: Bytes parsed at a time (a longer text comes in pieces), dictionary phrases sorted at a time, and starts in a row.
-PARSE, BUCKET, MOST = 2_000_000, 20_000, 60_000
+PARSE, BUCKET, MOST = 2_000_000, 5_000, 60_000
 RUN = 0
 NAMES = ["d", "k", "q", "key", "phrase", "n"]
 
@@ -234,7 +234,7 @@ def hashed_starts(rows: DataFrame) -> DataFrame:
     return rows.select("d", "k", "q", "bytes").mapInArrow(run, "d long, k long, p long, h long, g long")
 
 
-def repeats(docs: DataFrame, hot: int = 4000) -> DataFrame:
+def repeats(docs: DataFrame, hot: int = 1000) -> DataFrame:
     """(d, k, p, n): runs of n starts from p on whose ``LENGTH`` bytes also start earlier."""
     whole = occurrences(docs)
     keys = materialize(whole.groupBy("key").count().where(f"count > 1 OR key = {RUN}").select("key"), "triggers")
@@ -246,7 +246,7 @@ def repeats(docs: DataFrame, hot: int = 4000) -> DataFrame:
     copies = copies.select("d", "k", F.shiftright("q", 16).alias("p"), F.shiftright("q", 8).bitwiseAND(F.lit(255)).alias("n"))
 
     shared = materialize(dictionary.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    listed = dictionary.join(shared, "key").select("first.d", "first.k", F.struct("first.q", "key", "m").alias("one"))
+    listed = dictionary.join(shared.hint("merge"), "key").select("first.d", "first.k", F.struct("first.q", "key", "m").alias("one"))
     wanted = listed.groupBy("d", "k").agg(F.collect_list("one").alias("some"))  # phrases of one document
     rows = materialize(phrase_bytes(docs, wanted), "phrases")
     number = rows.where(F.col("m") <= hot).count()
@@ -255,11 +255,11 @@ def repeats(docs: DataFrame, hot: int = 4000) -> DataFrame:
 
     starts = materialize(hashed_starts(rows.where(F.col("m") > hot)), "starts")
     least = starts.groupBy("h", "g").agg(F.min(F.struct("d", "k", "p")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = starts.join(materialize(least, "least"), ["h", "g"]).where(F.struct("d", "k", "p") != F.col("first")).select("d", "k", "p", F.lit(1).cast("long").alias("n"))
+    later = starts.join(materialize(least, "least").hint("merge"), ["h", "g"]).where(F.struct("d", "k", "p") != F.col("first")).select("d", "k", "p", F.lit(1).cast("long").alias("n"))
     return copies.unionByName(sorted_).unionByName(later).unionByName(kept.where("n IS NOT NULL").select("d", "k", F.col("q").alias("p"), "n"))
 
 
-def dedup(docs: DataFrame, hot: int = 4000, kept: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = 1000, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``kept`` also the remaining bytes and the spans."""
     listed = repeats(docs, hot).groupBy("d", "k").agg(F.collect_list(F.shiftleft("p", 16).bitwiseOR(F.col("n"))).alias("gone"))  # of one document
     gone = materialize(listed, "gone")
