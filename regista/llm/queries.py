@@ -59,22 +59,26 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return line_dedup.strip_runs(docs)
+    return line_dedup.strip_runs(docs, min_words=50)
 
 
+_WORDS = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\x20\x09-\x0D\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+"
 OP7_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-w AS (SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b, lead(line, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM s),
-f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS copy FROM w WHERE c IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM f WHERE copy > 1),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos, len(regexp_extract_all(line, '$WORDS')) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT doc_id, pos, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c, n, n + lead(n) OVER o AS n2 FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (
+  SELECT doc_id, pos, 3 AS size, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS copy FROM w WHERE c IS NOT NULL
+  UNION ALL SELECT doc_id, pos, 2, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) FROM w WHERE n2 >= 50
+  UNION ALL SELECT doc_id, pos, 1, row_number() OVER (PARTITION BY a ORDER BY doc_id, pos) FROM w WHERE n >= 50),
+g AS (SELECT DISTINCT doc_id, pos + unnest(range(size)) AS pos FROM f WHERE copy > 1),
 x AS (SELECT s.doc_id, s.pos, s.line_no, s.pos - row_number() OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS run FROM s JOIN g ON s.doc_id = g.doc_id AND s.pos = g.pos),
 n AS (SELECT doc_id, count(*) AS n_removed, count(DISTINCT run) AS n_runs FROM x GROUP BY doc_id),
 t AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.line_no = x.line_no WHERE x.doc_id IS NULL GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
   CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs
 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
-"""
+""".replace("$WORDS", _WORDS)
 
 
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
