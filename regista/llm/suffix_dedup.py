@@ -39,7 +39,7 @@ from regista.llm.common import NULL_ID, doc_key, id_key, materialize, texts
 LENGTH = 100
 K = 37
 #: Bytes parsed at a time (a longer text comes in pieces), dictionary phrases sorted at a time, and starts in a row.
-PARSE, BUCKET, MOST = 2_000_000, 5_000, 60_000
+PARSE, BUCKET, MOST = 2_000_000, 2_000, 60_000
 RUN = 0
 NAMES = ["d", "k", "q", "key", "phrase", "n"]
 
