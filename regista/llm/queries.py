@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: whole tables, production parameters."""
+"""The registered queries of the operators: whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regista.llm import bpe, line_dedup, mil_classifier, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, topk
+from regista.llm import bpe, collocations, line_dedup, mil_classifier, ngram_join, packing, pii, quality_rules, resampling, sharding, suffix_dedup, topk, warc
 from regista.llm.common import read
 
 
@@ -93,9 +93,56 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 100),
+i AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(w[s:s + k - 1], ' ') AS phrase
+    FROM (SELECT lang, a, w, k, unnest(range(1, m - k + 2)) AS s FROM (SELECT lang, a, w, m, unnest(range(2, m)) AS k FROM c))) GROUP BY ALL),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, n.n,
+    (CAST(1000 AS HUGEINT) * k.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages")).drop("url")
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.h AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.h = p.h AND n >= 100
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii_surrogates, op3_maxscore_topk, op4_suffix_dedup, op5_byte_bpe, op6_sharding, op7_line_dedup, op8_pattern_packing, op9_mil_quality, op10_ngram_join)}
+    found = (op1_quality_rules, op2_pii_surrogates, op3_maxscore_topk, op4_suffix_dedup, op5_byte_bpe, op6_sharding, op7_line_dedup, op8_pattern_packing, op9_mil_quality, op10_ngram_join)
+    return {f.__name__: f for f in (*found, op11_resampling, op12_collocations, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore_topk": OP3_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op3_maxscore_topk": OP3_SQL, "op7_line_dedup": OP7_SQL, "op12_collocations": OP12_SQL, "op13_warc": OP13_SQL}
