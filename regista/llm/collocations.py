@@ -34,7 +34,7 @@ from regista.llm.common import materialize
 
 DEPTH, LEAST, KEPT = 5, 100, 2000
 #: Bytes of text taken at a time.
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 #: Entries of the table of pairs, and of those of triples and quadruples: what tasks send and receive, at any size of the corpus.
 PAIRS, LONGER = 1 << 22, 1 << 18
 #: Entries that are summed together.
@@ -153,8 +153,8 @@ def tables(found: DataFrame, least: int, routed: int) -> tuple[np.ndarray, np.nd
 
 
 def suffixes(rows: DataFrame, often: np.ndarray, hot: np.ndarray, groups: int) -> DataFrame:
-    """Stored (lang, route, depth, phrase, n): suffixes up to their first infrequent pair with the group that sorts them and
-    the least length that the group counts; without a route, prefixes counted here."""
+    """Stored (lang, route, depth, phrase, n), the last three as lists: the suffixes of a stretch, up to their first infrequent
+    pair, that one group sorts, and the least length that the group counts; without a route, prefixes counted here."""
     often, hot = np.packbits(often), np.packbits(hot)  # as they travel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,25 +195,29 @@ def suffixes(rows: DataFrame, often: np.ndarray, hot: np.ndarray, groups: int) -
                 route[five] = some.hashes(DEPTH)[0][start[five]]
             vocabulary = pa.array(some.words, pa.binary())
 
-            def rows_of(which: np.ndarray, most: np.ndarray, routed: bool) -> pa.RecordBatch:
-                parts = [vocabulary.take(pa.array(words[k][which], mask=k >= most)) for k in range(int(most.max(initial=2)))]
+            def lists(which: np.ndarray, most: np.ndarray, to: np.ndarray | None) -> pa.RecordBatch:
+                """One row of lists for each group that ``which`` go to; without groups, one for all."""
+                if to is not None:
+                    by = np.argsort(to, kind="stable")
+                    which, most, to = which[by], most[by], to[by]
+                cut = np.flatnonzero(np.diff(to)) + 1 if to is not None else np.zeros(0, np.int64)
+                offsets = pa.array(np.concatenate([[0], cut, [len(which)]]).astype(np.int32))
+                parts = [vocabulary.take(pa.array(words[k][which], mask=k >= most)) for k in range(int(most.max()))]
                 phrase = pc.binary_join_element_wise(*parts, b" ", null_handling="skip").cast(pa.string())
-                n = len(which)
-                to = pa.array((route[which] >> np.uint64(20)).astype(np.int64) % groups) if routed else pa.nulls(n, pa.int64())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([some.lang] * n, pa.string()), to, pa.array(depth[which].astype(np.int32)), phrase, pa.array(weight[which])], names=["lang", "route", "depth", "phrase", "n"]
-                )
+                columns = [pa.array(depth[which].astype(np.int32)), phrase, pa.array(weight[which])]
+                routes = pa.array(to[np.concatenate([[0], cut])]) if to is not None else pa.nulls(1, pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array([some.lang] * len(routes), pa.string()), routes, *[pa.ListArray.from_arrays(offsets, c) for c in columns]], names=["lang", "route", "depth", "phrase", "n"])
 
             sent = np.flatnonzero(depth <= length)
-            for lo in range(0, len(sent), 1 << 16):
-                part = sent[lo : lo + (1 << 16)]
-                yield rows_of(part, length[part], True)
+            for lo in range(0, len(sent), 1 << 17):
+                part = sent[lo : lo + (1 << 17)]
+                yield lists(part, length[part], (route[part] >> np.uint64(20)).astype(np.int64) % groups)
             for size in range(2, DEPTH):
                 counted = np.flatnonzero((depth > size) & (length >= size))
                 if len(counted):
-                    yield rows_of(counted, np.full(len(counted), size), False)
+                    yield lists(counted, np.full(len(counted), size), None)
 
-    return materialize(rows.mapInArrow(run, "lang string, route long, depth int, phrase string, n long"), "suffixes")
+    return materialize(rows.mapInArrow(run, "lang string, route long, depth array<int>, phrase array<string>, n array<long>"), "suffixes")
 
 
 def quicksort(codes: list[np.ndarray], weight: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -236,13 +240,12 @@ def quicksort(codes: list[np.ndarray], weight: np.ndarray, least: int) -> Iterat
 
 def _counted(key: tuple, table: pa.Table, least: int) -> pa.Table:
     """(lang, phrase, n) of the frequent phrases of one group of suffixes."""
-    parts = pc.split_pattern(table.column("phrase").combine_chunks(), " ")
-    parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
+    parts = pc.split_pattern(pc.list_flatten(table.column("phrase").combine_chunks()), " ")
     words = parts.flatten().dictionary_encode()
     code, offsets = words.indices.to_numpy(), parts.offsets.to_numpy()
     length = np.diff(offsets)
     codes = [np.where(k < length, code[np.minimum(offsets[:-1] + k, max(len(code) - 1, 0))], -1) for k in range(DEPTH)]
-    depth, weight = table.column("depth").to_numpy(), table.column("n").to_numpy()
+    depth, weight = (pc.list_flatten(table.column(c).combine_chunks()).to_numpy() for c in ("depth", "n"))
     found = [(row, size, n) for row, size, n in quicksort(codes, weight, least) if size >= depth[row]]
     phrases = [" ".join(words.dictionary[int(codes[k][row])].as_py() for k in range(size)) for row, size, _ in found]
     lang = table.column("lang")[0].as_py()
@@ -258,7 +261,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang:
     sent = suffixes(rows, often, hot, max(1, math.ceil(kept / routed)))
     sort = lambda key, table: _counted(key, table, least)
     sorted_ = sent.where("route is not null").groupBy("lang", "route").applyInArrow(sort, "lang string, phrase string, n long")
-    counts = sorted_.unionByName(sent.where("route is null").select("lang", "phrase", "n")).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    counts = sorted_.unionByName(sent.where("route is null").select("lang", F.inline(F.arrays_zip("phrase", "n")))).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return words, materialize(counts, "phrases")
 
 

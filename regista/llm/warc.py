@@ -331,7 +331,8 @@ def locate_records(found: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, _schema(fields))
 
     lines = index.mapInArrow(run, fields)
-    named = lines.join(warc, ["path", "file"]).select("path", (F.col("data") + F.col("at")).alias("at"), "length", "gz")
+    # merged: both sides grow with the corpus, and what a task makes of its input cannot be known before
+    named = lines.join(warc.hint("merge"), ["path", "file"]).select("path", (F.col("data") + F.col("at")).alias("at"), "length", "gz")
     walked = warc.join(index.select("path").distinct(), "path", "left_anti").select("path", F.col("data").alias("at"), F.col("packed").alias("length"), (F.col("gz") + 2).alias("gz"))
     return named.unionByName(walked)
 
