@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from regista.functions import texts
-from regista.operators import matching, scoring, similarity
+from regista.operators import matching, scoring, similarity, token_spans
 from regista.operators.graph import components
 from regista.plans import grading, state, views
 from regista.plans.streams import live_state
@@ -117,9 +117,9 @@ def test_dice_pairs_lose_nothing(spark, threshold):
 @given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10**6))
 def test_assignment_is_optimal(n, m, seed):
     draw = np.random.default_rng(seed)
-    q = np.where(draw.random((n, m)) < 0.6, draw.integers(1, 9, (n, m)), 0).astype(float)
+    q = np.where(draw.random((n, m)) < 0.6, draw.integers(1, 9, (n, m)), 0)
     weight = np.where(q > 0, 100 + q, 0)
-    got = matching.assign(weight)
+    got = matching.assign([(i, j, int(weight[i, j])) for i, j in np.argwhere(weight > 0).tolist()])
     assert len({i for i, _ in got}) == len(got) == len({j for _, j in got})
     small, big = sorted((n, m))
     w = weight if n <= m else weight.T
@@ -130,10 +130,25 @@ def test_assignment_is_optimal(n, m, seed):
 def test_matching_rows(spark):
     pairs = [(1, 10, 0.9), (1, 11, 0.8), (2, 10, 0.85), (3, 12, 0.5), (4, 13, 0.5), (4, 14, 0.6)]
     df = spark.createDataFrame(pairs, "left_id long, right_id long, quality double")
-    got = sorted(tuple(r) for r in matching.match_rows(df).collect())
-    assert got == [(1, 11, False), (2, 10, False), (3, 12, False), (4, 14, False)]
-    rounds = matching.match_rows(df, exact=0).collect()
-    assert all(r.approximate for r in rounds) and len({r.left_id for r in rounds}) == len(rounds) == len({r.right_id for r in rounds})
+    for task_pairs in (1000, 3, 0):
+        got = sorted(tuple(r) for r in matching.match_rows(df, task_pairs=task_pairs, unit=0.01).collect())
+        assert got == [(1, 11), (2, 10), (3, 12), (4, 14)]
+    assert matching.match_rows(df.where("false")).collect() == []
+
+
+def test_an_auction_over_several_tasks_is_optimal(spark):
+    draw = np.random.default_rng(2)
+    q = {(int(a), int(b)): int(w) for a, b, w in zip(draw.integers(0, 11, 30), draw.integers(0, 9, 30), draw.integers(1, 50, 30))}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in q.items()], "left_id long, right_id long, q long")
+    got = [tuple(r) for r in matching.auction(df, block=40).collect()]
+    want = matching.assign((a, b, 10_000 + w) for (a, b), w in q.items())
+    assert len({a for a, _ in got}) == len(got) == len({b for _, b in got}) == len(want)
+    assert sum(q[x] for x in got) == sum(q[x] for x in want)
+
+
+def test_a_long_chain_is_matched_in_one_task():
+    pairs = [(k, k + d, 10**9 + (k * 7919 + d * 104729) % 9973) for k in range(20_000) for d in (0, 1)]
+    assert len(matching.assign(pairs)) == 20_000
 
 
 def test_live_state_ignores_late_events(spark, tmp_path):
@@ -189,16 +204,58 @@ def test_closed_sessions_equal_the_batch(spark, sf):
     assert closed and closed <= batch and len(batch) - len(closed) < 0.2 * len(batch)
 
 
-def test_windows_move_on_and_cover(spark):
-    from regista.plans.text import greedy
-
-    for sizes in ([5], [600, 700], [100] * 30, [10, 900, 10, 10, 480, 55, 400]):
-        out = spark.createDataFrame([(sizes,)], "s array<long>").select(greedy(F.col("s"), 500, 60).alias("w")).first().w
-        assert out[0].first == 0 and out[-1].last == len(sizes) - 1
-        for a, b in itertools.pairwise(out):
-            assert a.first < b.first <= a.last + 1
-        for w in out:
-            assert w.first == w.last or sum(sizes[w.first : w.last + 1]) <= 500 or w.last == w.first + 1
+def by_loop(sizes, target, overlap):
+    """Windows (first, last, tokens), from 0, by the rule as it is said."""
+    start, out = 0, []
+    while start < len(sizes):
+        end, total = start, 0
+        while end < len(sizes) and (total < target or end == start):
+            total += sizes[end]
+            end += 1
+        out.append((start, end - 1, total))
+        if end >= len(sizes):
+            break
+        back, again = end, 0
+        while back > start and again < overlap:
+            back -= 1
+            again += sizes[back]
+        start = max(start + 1, back)
+    return out
+
+
+def packed_by_loop(sizes, most):
+    calls, now = [], []
+    for k, n in enumerate(sizes):
+        if now and sum(sizes[i] for i in now) + n > most:
+            calls.append((now[0], now[-1]))
+            now = []
+        now.append(k)
+    return calls + [(now[0], now[-1])]
+
+
+def test_windows_and_calls_equal_a_loop(spark):
+    pick = random.Random(5)
+    sources = [[5], [600, 700], [100] * 30, [10, 900, 10, 10, 480, 55, 400], [0] * 7, [0, 0, 50, 0], [3000, 1, 1, 3000]]
+    sources += [[pick.choice([0, 1, 7, 30, 30, 90, 700]) for _ in range(pick.randint(1, 60))] for _ in range(40)]
+    rows = [(k, 3 * i + 1, n) for k, sizes in enumerate(sources) for i, n in enumerate(sizes)]
+    pick.shuffle(rows)
+    for block in (1, 20):
+        got = token_spans.windows(spark.createDataFrame(rows, "source_id long, seq long, n long"), 100, 25, block).collect()
+        for k, sizes in enumerate(sources):
+            mine = sorted((r.window_seq, (r.first_seq - 1) // 3, (r.last_seq - 1) // 3, r.n_tokens) for r in got if r.source_id == k)
+            assert mine == [(i, *w) for i, w in enumerate(by_loop(sizes, 100, 25))]
+        calls = token_spans.calls(spark.createDataFrame(rows, "source_id long, seq long, n long"), 100, block).collect()
+        for k, sizes in enumerate(sources):
+            mine = sorted((r.call_no, (r.first_seq - 1) // 3, (r.last_seq - 1) // 3) for r in calls if r.source_id == k)
+            assert mine == [(i, *w) for i, w in enumerate(packed_by_loop(sizes, 100))]
+
+
+def test_windows_of_one_long_source(spark):
+    sizes = [(k * 7919) % 40 for k in range(60_000)]
+    rows = spark.range(len(sizes)).select(F.lit(1).cast("long").alias("source_id"), F.col("id").alias("seq"), ((F.col("id") * 7919) % 40).alias("n"))
+    got = token_spans.windows(rows, 500, 60).select("first_seq", "last_seq", "n_tokens").collect()
+    assert sorted(map(tuple, got)) == by_loop(sizes, 500, 60)
+    assert token_spans.windows(rows.where("false"), 500, 60).collect() == []
 
 
 def test_classes_of_differences_by_hand(spark):
