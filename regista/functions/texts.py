@@ -194,3 +194,40 @@ def strip_markup(html: str | Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         html = F.replace(html, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(html, r"[ \t\r\n]+", " "))
+
+
+#: What counts as white space in prose, as a class of a pattern.
+SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: A sentence with its marks and the space after it.
+SENTENCE = "[^.!?…]+[.!?…]* *"
+
+
+def paragraphs(text: str | Column) -> Column:
+    """The paragraphs of a text, parted by blank lines, white space collapsed; those of white space only are left out."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    plain = F.transform(F.split(text, rf"\r?\n{SPACE}*\r?\n"), lambda p: F.trim(F.regexp_replace(p, f"{SPACE}+", " ")))
+    return F.filter(plain, lambda p: p != "")
+
+
+def prose_units(paragraph: Column, most: int = 120) -> Column:
+    """Units of at most ``most`` words of a paragraph (collapsed): the paragraph if it is short enough, else its sentences,
+    gathered in order as long as they fit; a longer sentence is cut between words. Units put together are the paragraph, but
+    for marks that come before its first sentence."""
+    words = lambda t: F.size(F.filter(F.split(t, " "), lambda w: w != ""))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("n"))
+
+    def cut(part: Column) -> Column:
+        tokens = F.filter(F.split(part, " "), lambda w: w != "")
+        return F.transform(F.sequence(F.lit(1), F.size(tokens), F.lit(most)), lambda i: F.array_join(F.slice(tokens, i, F.lit(most)), " "))
+
+    def state(done: Column, held: Column, n: Column) -> Column:
+        return F.struct(done.alias("done"), held.alias("held"), n.cast("int").alias("n"))
+
+    def add(acc: Column, part: Column) -> Column:
+        n = words(part)
+        kept = F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.trim(acc["held"])))).otherwise(acc["done"])
+        return F.when(n == 0, acc).when(n > most, state(F.concat(kept, cut(part)), F.lit(""), F.lit(0))).when((acc["n"] > 0) & (acc["n"] + n > most), state(kept, part, n)).otherwise(state(acc["done"], F.concat(acc["held"], part), acc["n"] + n))
+
+    parts = F.regexp_extract_all(paragraph, F.lit(f"({SENTENCE})"))
+    gathered = F.aggregate(parts, start, add, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.trim(acc["held"])))).otherwise(acc["done"]))
+    return F.when(words(paragraph) <= most, F.array(paragraph)).otherwise(let(gathered, lambda units: F.when(F.size(units) > 0, units).otherwise(F.array(paragraph))))

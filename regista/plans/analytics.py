@@ -127,11 +127,40 @@ def theme_edges(spark, sf):
 
 @query("SELECT a.source_id, count(*) AS n_pairs, count(DISTINCT a.row_id) AS n_rows FROM (SELECT DISTINCT source_id, row_id, seq FROM v_anchors) a JOIN (SELECT DISTINCT source_id, row_id, seq FROM v_anchors) b ON a.source_id = b.source_id AND a.row_id < b.row_id AND abs(a.seq - b.seq) <= 6 GROUP BY a.source_id")
 def passage_edges(spark, sf):
-    """Anchors of one source at most six segments apart: a band join by buckets of seven segments and their neighbours."""
-    a = views.anchors(spark, sf).select("source_id", "row_id", "seq").distinct().withColumn("bucket", F.floor(F.col("seq") / 7))
-    b = a.select("source_id", F.col("row_id").alias("other"), F.col("seq").alias("at"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
-    j = a.join(b, ["source_id", "bucket"]).where((F.col("row_id") < F.col("other")) & (F.abs(F.col("seq") - F.col("at")) <= 6))
-    return j.groupBy("source_id").agg(F.count("*").alias("n_pairs"), F.count_distinct("row_id").alias("n_rows"))
+    """Anchors of one source at most six segments apart, counted without being paired: by place, how many lie before it
+    within reach, less those of the same row."""
+    a = materialize(views.anchors(spark, sf).select("source_id", "row_id", "seq").distinct(), "anchors")
+    places = _within(a.groupBy("source_id", "seq").agg(F.count("*").alias("c"), F.max("row_id").alias("most")))
+    by = Window.partitionBy("source_id", "block").orderBy("seq")
+    near = F.coalesce(F.sum("c").over(by.rangeBetween(-RADIUS, -1)), F.lit(0))
+    places = places.withColumns({"pairs": F.col("c") * near + F.floor(F.col("c") * (F.col("c") - 1) / 2), "reach": F.max("most").over(by.rangeBetween(-RADIUS, RADIUS))}).where("own")
+    own = F.count("*").over(Window.partitionBy("source_id", "row_id").orderBy("seq").rangeBetween(-RADIUS, -1))  # a row's own anchors in one source
+    same = a.withColumn("own", own).groupBy("source_id").agg(F.sum("own").alias("same"))
+    pairs = places.groupBy("source_id").agg(F.sum("pairs").alias("pairs")).join(same, "source_id")
+    rows = a.join(places.select("source_id", "seq", "reach"), ["source_id", "seq"]).where("row_id < reach").groupBy("source_id").agg(F.count_distinct("row_id").alias("n_rows"))
+    return pairs.join(rows, "source_id").select("source_id", (F.col("pairs") - F.col("same")).alias("n_pairs"), "n_rows")
+
+
+#: Segments that a passage reaches, and segments of a source that one task looks at.
+RADIUS, SPAN = 6, 4096
+
+
+def _within(rows):
+    """``rows`` (source_id, seq) by blocks of segments that see what lies within reach on both sides."""
+    at = lambda d: F.floor((F.col("seq") + d) / SPAN)
+    return rows.withColumn("block", F.explode(F.array_distinct(F.array(at(0), at(-RADIUS), at(RADIUS))))).withColumn("own", F.col("block") == at(0))
+
+
+@query("""SELECT DISTINCT source_id, least(row_id, before) AS left_id, greatest(row_id, before) AS right_id FROM (
+  SELECT source_id, row_id, seq, lag(row_id) OVER o AS before, lag(seq) OVER o AS last FROM (SELECT DISTINCT source_id, row_id, seq FROM v_anchors) WINDOW o AS (PARTITION BY source_id ORDER BY seq, row_id))
+WHERE row_id <> before AND seq - last <= 6""")
+def passage_links(spark, sf):
+    """Links that connect the same rows as all pairs within reach do: each anchor with the one before it, as whatever lies
+    between two anchors within reach is within reach of both. One link an anchor, however many share a passage."""
+    a = _within(views.anchors(spark, sf).select("source_id", "row_id", "seq").distinct())
+    by = Window.partitionBy("source_id", "block").orderBy("seq", "row_id")
+    j = a.withColumns({"before": F.lag("row_id").over(by), "last": F.lag("seq").over(by)}).where((F.col("row_id") != F.col("before")) & (F.col("seq") - F.col("last") <= RADIUS))
+    return j.select("source_id", F.least("row_id", "before").alias("left_id"), F.greatest("row_id", "before").alias("right_id")).distinct()
 
 
 VIEW_SQL["v_reach"] = "SELECT DISTINCT a AS node, b AS reach FROM (SELECT left_id AS a, right_id AS b FROM v_lexical UNION ALL SELECT right_id, left_id FROM v_lexical)"

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regista.functions import texts as T
+from regista.operators import token_spans
 from regista.plans import views
 from regista.plans.registry import query
+from regista.plans.store import materialize
 from regista.plans.views import VIEW_SQL
 
 
@@ -188,51 +190,82 @@ def segment_window(spark, sf):
     return s.select("source_id", "seq", F.greatest(F.lit(0), F.ceil((F.col("seq") - 6) / 4)).cast("long").alias("window_seq"))
 
 
-def greedy(sizes, target: int, overlap: int):
-    """Windows over an ordered array of sizes, as structs (first, last): filled to the target, then stepping back by the
-    overlap, always moving on by at least one."""
-    start = F.struct(F.lit(0).alias("first"), F.lit(0).cast("long").alias("used"), F.expr("CAST(array() AS array<struct<first:int,last:int>>)").alias("out"))
-
-    def add(acc, i):
-        size = F.get(sizes, i)
-        full = (acc["used"] + size > target) & (i > acc["first"])
-        back = F.when(F.lit(overlap) > 0, F.when(F.get(sizes, i - 1) <= overlap, F.greatest(i - 1, acc["first"] + 1)).otherwise(i)).otherwise(i)
-        again = F.when(back < i, F.get(sizes, i - 1).cast("long")).otherwise(F.lit(0).cast("long"))
-        return F.struct(
-            F.when(full, back).otherwise(acc["first"]).alias("first"), (F.when(full, again).otherwise(acc["used"]) + size).alias("used"),
-            F.when(full, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), (i - 1).alias("last"))))).otherwise(acc["out"]).alias("out"),
-        )
-
-    done = F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), start, add)
-    return F.concat(done["out"], F.array(F.struct(done["first"].alias("first"), (F.size(sizes) - 1).alias("last"))))
-
-
-@query()
+#: Tokens of a window, those that the next one repeats, and those of a call with the number of calls that a source may take.
+WINDOW, OVERLAP, CALL, CALLS = 500, 60, 1500, 4
+_TOKENS = """CASE WHEN words = 0 THEN 0 ELSE CAST(ceil(round(greatest(chars / (4.0 - 1.4 * least(1.0, CAST(marks AS DOUBLE) / chars / 0.2)), words * 1.5 + marks * 0.75, CAST(chars AS DOUBLE) / 4), 9)) AS BIGINT) END"""
+_WINDOWS = f"""WITH RECURSIVE t AS (
+  SELECT source_id, seq, CAST(length(text) AS DOUBLE) AS chars, len(regexp_extract_all(text, '\\S+')) AS words, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}\\s]')) AS marks
+  FROM (SELECT conv_id AS source_id, turn + 1 AS seq, coalesce(text, '') AS text FROM conversations)),
+s AS (
+  SELECT source_id, seq, n, row_number() OVER o - 1 AS i, CAST(sum(n) OVER o - n AS BIGINT) AS p, count(*) OVER (PARTITION BY source_id) AS size
+  FROM (SELECT source_id, seq, {_TOKENS} AS n FROM t) WINDOW o AS (PARTITION BY source_id ORDER BY seq)),
+e AS (SELECT a.source_id, a.i, max(b.i) AS last FROM s a JOIN s b ON a.source_id = b.source_id AND b.i >= a.i AND (b.i = a.i OR b.p - a.p < {WINDOW}) GROUP BY ALL),
+j AS (
+  SELECT e.source_id, e.i, e.last, greatest(e.i + 1, coalesce(max(b.i), 0)) AS next
+  FROM e JOIN s l ON l.source_id = e.source_id AND l.i = e.last LEFT JOIN s b ON b.source_id = e.source_id AND b.i <= e.last AND l.p + l.n - b.p >= {OVERLAP} GROUP BY e.source_id, e.i, e.last),
+w AS (
+  SELECT source_id, CAST(0 AS BIGINT) AS window_seq, i, last, next FROM j WHERE i = 0
+  UNION ALL SELECT j.source_id, w.window_seq + 1, j.i, j.last, j.next FROM w JOIN s l ON l.source_id = w.source_id AND l.i = w.last AND w.last < l.size - 1 JOIN j ON j.source_id = w.source_id AND j.i = w.next),
+v AS (
+  SELECT w.source_id, window_seq, f.seq AS first_seq, l.seq AS last_seq, l.p + l.n - f.p AS n_tokens
+  FROM w JOIN s f ON f.source_id = w.source_id AND f.i = w.i JOIN s l ON l.source_id = w.source_id AND l.i = w.last)"""
+
+
+def source_windows(spark, sf):
+    """Windows over all segments of all sources."""
+    return token_spans.windows(views.segments(spark, sf).select("source_id", "seq", T.token_estimate("text").alias("n")), WINDOW, OVERLAP)
+
+
+@query(_WINDOWS + " SELECT * FROM v", complete=True)
 def token_windows(spark, sf):
     """Overlapping windows of about 500 tokens over the segments of a source."""
-    s = views.segments(spark, sf).withColumn("n", T.token_estimate("text"))
-    listed = s.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "n"))), lambda x: x["n"]).alias("sizes"))
-    w = listed.select("source_id", "sizes", F.posexplode(greedy(F.col("sizes"), 500, 60)).alias("window_seq", "w"))
-    total = F.aggregate(F.slice("sizes", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    return w.select("source_id", "window_seq", (F.col("w.first") + 1).alias("first_seq"), (F.col("w.last") + 1).alias("last_seq"), total.alias("n_tokens"))
+    return source_windows(spark, sf).withColumn("window_seq", F.col("window_seq").cast("long"))
 
 
-@query()
+@query(_WINDOWS + f""",
+c AS (
+  SELECT source_id, window_seq, CAST(0 AS BIGINT) AS call_no, n_tokens AS used FROM v WHERE window_seq = 0
+  UNION ALL SELECT v.source_id, v.window_seq, CASE WHEN used + v.n_tokens > {CALL} THEN call_no + 1 ELSE call_no END, CASE WHEN used + v.n_tokens > {CALL} THEN 0 ELSE used END + v.n_tokens
+  FROM c JOIN v ON v.source_id = c.source_id AND v.window_seq = c.window_seq + 1),
+o AS (SELECT source_id, max(call_no) >= {CALLS} OR max(v.n_tokens) > {CALL} AS over_budget FROM c JOIN v USING (source_id, window_seq) GROUP BY source_id)
+SELECT source_id, over_budget, call_no, min(window_seq) AS first_window, max(window_seq) AS last_window FROM c JOIN o USING (source_id) GROUP BY ALL""", complete=True)
 def call_slices(spark, sf):
     """Consecutive windows packed into calls of at most 1500 tokens; over budget if a window is larger or a source takes over 4 calls."""
-    w = token_windows(spark, sf)
-    listed = w.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("window_seq", "n_tokens"))), lambda x: x["n_tokens"]).alias("sizes"))
-    s = listed.select("source_id", "sizes", greedy(F.col("sizes"), 1500, 0).alias("calls"))
-    over = (F.size("calls") > 4) | (F.array_max("sizes") > 1500)
-    return s.select("source_id", over.alias("over_budget"), F.posexplode("calls").alias("call_no", "c")).select("source_id", "call_no", (F.col("c.first")).alias("first_window"), F.col("c.last").alias("last_window"), "over_budget")
-
-
-@query("SELECT doc_id, para_index, len(regexp_extract_all(para, '\\S+')) AS n_words, CAST(ceil(len(regexp_extract_all(para, '\\S+')) / 120.0) AS BIGINT) AS n_units FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS para, unnest(range(len(string_split(text, chr(10))))) AS para_index FROM documents) WHERE regexp_matches(para, '\\S')")
+    w = materialize(source_windows(spark, sf), "windows")
+    calls = materialize(token_spans.calls(w.select("source_id", F.col("window_seq").alias("seq"), F.col("n_tokens").alias("n")), CALL), "calls")
+    over = calls.groupBy("source_id").agg((F.max("call_no") >= CALLS).alias("many")).join(w.groupBy("source_id").agg((F.max("n_tokens") > CALL).alias("large")), "source_id")
+    long = lambda c: F.col(c).cast("long")
+    return calls.join(over, "source_id").select("source_id", (F.col("many") | F.col("large")).alias("over_budget"), long("call_no").alias("call_no"), long("first_seq").alias("first_window"), long("last_seq").alias("last_window"))
+
+
+#: Words of a unit.
+UNIT = 120
+
+
+def _units_sql() -> str:
+    space = T.SPACE
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r?\\n{space}*\\r?\\n'), lambda x: trim(regexp_replace(x, '{space}+', ' ', 'g'))), lambda x: x <> '')) AS para,
+  unnest(range(len(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r?\\n{space}*\\r?\\n'), lambda x: trim(regexp_replace(x, '{space}+', ' ', 'g'))), lambda x: x <> '')))) AS para_index FROM documents),
+p AS (SELECT *, row_number() OVER () AS id, len(string_split(para, ' ')) AS n FROM r),
+a AS (SELECT id, unnest(regexp_extract_all(para, '{T.SENTENCE}')) AS part, unnest(range(len(regexp_extract_all(para, '{T.SENTENCE}')))) AS k FROM p WHERE n > {UNIT}),
+b AS (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY k) AS k, len(list_filter(string_split(part, ' '), lambda w: w <> '')) AS n FROM a WHERE trim(part) <> ''),
+g AS (
+  SELECT id, k, n, part, CAST(0 AS BIGINT) AS unit, n AS used FROM b WHERE k = 1
+  UNION ALL SELECT b.id, b.k, b.n, b.part, g.unit + CASE WHEN b.n > {UNIT} OR g.n > {UNIT} OR g.used + b.n > {UNIT} THEN 1 ELSE 0 END, CASE WHEN b.n > {UNIT} OR g.n > {UNIT} OR g.used + b.n > {UNIT} THEN 0 ELSE g.used END + b.n
+  FROM g JOIN b ON b.id = g.id AND b.k = g.k + 1),
+u AS (
+  SELECT id, unit, 0 AS chunk, trim(string_agg(part, '' ORDER BY k)) AS text FROM g WHERE n <= {UNIT} GROUP BY id, unit
+  UNION ALL SELECT id, unit, c AS chunk, array_to_string(list_filter(string_split(part, ' '), lambda w: w <> '')[c * {UNIT} + 1:c * {UNIT} + {UNIT}], ' ') FROM (SELECT *, unnest(range(CAST(ceil(n / {UNIT}.0) AS BIGINT))) AS c FROM g WHERE n > {UNIT})
+  UNION ALL SELECT id, 0, 0, para FROM p WHERE n <= {UNIT} OR id NOT IN (SELECT id FROM b))
+SELECT doc_id, para_index, row_number() OVER (PARTITION BY id ORDER BY unit, chunk) - 1 AS unit_index, CAST(len(string_split(u.text, ' ')) AS BIGINT) AS n_words, u.text FROM u JOIN p USING (id)"""
+
+
+@query(_units_sql(), complete=True)
 def text_units(spark, sf):
-    """Paragraphs and how many units of at most 120 words a hard split makes of each."""
-    p = views.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_index", "para")).where(F.col("para").rlike(r"\S"))
-    words = F.regexp_count("para", F.lit(r"\S+"))
-    return p.select("doc_id", F.col("para_index").cast("long").alias("para_index"), words.cast("long").alias("n_words"), F.ceil(words / 120).alias("n_units"))
+    """Units of at most 120 words of every paragraph: whole paragraphs, else sentences in groups, else runs of words."""
+    p = views.spread(views.read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.paragraphs("text")).alias("para_index", "para"))
+    u = p.select("doc_id", F.col("para_index").cast("long").alias("para_index"), F.posexplode(T.prose_units(F.col("para"), UNIT)).alias("unit_index", "text"))
+    return u.select("doc_id", "para_index", F.col("unit_index").cast("long").alias("unit_index"), F.size(F.split("text", " ")).cast("long").alias("n_words"), "text")
 
 
 @query("""SELECT note_id, CASE WHEN note_id % 5 = 0 THEN event_date WHEN stated <> '' THEN try_cast(stated AS DATE) WHEN compact <> '' THEN try_cast(compact[1:4] || '-' || compact[5:6] || '-' || compact[7:8] AS DATE) END AS event_on,
