@@ -29,27 +29,23 @@ def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 @query("SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_activity(spark, sf):
-    return _drained(jobs.activity_counts(_events(spark, sf)), "complete")
+    return jobs.keyed(jobs.activity_counts(_events(spark, sf)), _folder(spark), ["start", "end", "event_type"])
 
 
 @query("SELECT date_trunc('hour', ts) - to_hours(k) AS start, date_trunc('hour', ts) - to_hours(k) + INTERVAL 3 HOUR AS \"end\", event_type, count(*) AS n FROM events, (VALUES (0), (1), (2)) t(k) GROUP BY ALL")
 def stream_activity_sliding(spark, sf):
-    return _drained(jobs.activity_counts(_events(spark, sf), "3 hours", "1 hour"), "complete")
+    return jobs.keyed(jobs.activity_counts(_events(spark, sf), "3 hours", "1 hour"), _folder(spark), ["start", "end", "event_type"])
 
 
-def live_state(spark, folder: str) -> jobs.Folded:
-    """The register's current state by the replay of its events, folded batch by batch."""
-    schema = scoring.replay(views.event_rows(spark.createDataFrame([], jobs.EVENTS))).schema
-    return jobs.Folded(spark, folder, schema, lambda batch, now: scoring.merge_replays(scoring.replay(views.event_rows(batch)), now))
+def live_state(events: DataFrame) -> DataFrame:
+    """The replay of a stream of events: its state is one entry a register row, and each batch gives the rows it changed."""
+    return scoring.replay(views.event_rows(events))
 
 
 @query(ORACLES["replay_state"], complete=True)
 def stream_state(spark, sf):
-    """Live state: the replay of the event log, folded batch by batch; late events never win."""
-    folder = _folder(spark)
-    sink = live_state(spark, f"{folder}/state")
-    jobs.run(_events(spark, sf), sink, f"{folder}/checkpoint")
-    return state.asserted(sink.now())
+    """Live state: the replay of the event log, kept by row; late events never win."""
+    return state.asserted(jobs.keyed(live_state(_events(spark, sf)), _folder(spark), ["row_id"]))
 
 
 _REJECTED = f"""SELECT t.event_id AS event_id, t.outcome AS reason FROM ({ORACLES['event_time_check'].strip()}) t WHERE t.outcome <> 'ok'
@@ -85,7 +81,7 @@ def stream_contested(spark, sf):
 GROUP BY user_id, island""")
 def stream_sessions(spark, sf):
     """Work sessions of each user, those still open at the end of the log included."""
-    return _drained(jobs.sessions(_events(spark, sf)), "complete")
+    return jobs.keyed(jobs.session_changes(_events(spark, sf)), _folder(spark), ["user_id", "start"]).where("n > 0")
 
 
 def file_rows(spark, sf) -> DataFrame:
@@ -114,5 +110,5 @@ def inbox_stream(spark, sf):
     files.write.parquet(f"{folder}/files")
     sink = jobs.Inbox(spark, folder)
     stream = spark.readStream.schema(files.schema).parquet(f"{folder}/files")
-    jobs.run(jobs.named_files(stream), sink, f"{folder}/checkpoint")
+    sink.run(jobs.named_files(stream), f"{folder}/checkpoint")
     return sink.accepted().select("path", "kind", "hash")
