@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regista.functions import texts as T
-from regista.operators import similarity
+from regista.operators import mentions, similarity
 from regista.operators.graph import components
 from regista.plans import reconcile, state, views
 from regista.plans.evidence import tokens_sql
@@ -163,6 +163,46 @@ def passage_links(spark, sf):
     return j.select("source_id", F.least("row_id", "before").alias("left_id"), F.greatest("row_id", "before").alias("right_id")).distinct()
 
 
+@query("""WITH r AS (SELECT project_id, external_id AS id, related_id, supersedes_id, external_id IN (SELECT supersedes_id FROM v_rows WHERE supersedes_id IS NOT NULL) AS superseded FROM v_rows)
+SELECT DISTINCT project_id, kind, least(id, other) AS left_id, greatest(id, other) AS right_id FROM (
+  SELECT project_id, id, 'related-id' AS kind, related_id AS other FROM r WHERE NOT superseded UNION ALL SELECT project_id, id, 'supersession', supersedes_id FROM r WHERE NOT superseded) e
+WHERE id <> other AND EXISTS (SELECT 1 FROM r WHERE r.project_id = e.project_id AND r.id = e.other)""")
+def record_edges(spark, sf):
+    """Links that open rows state themselves, to rows of their project: a related record, one that they supersede."""
+    r = materialize(views.rows(spark, sf).select("project_id", F.col("external_id").alias("id"), "related_id", "supersedes_id"), "records")
+    past = r.select(F.col("supersedes_id").alias("id")).where("id IS NOT NULL").distinct()
+    said = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("other")) for k, c in (("related-id", "related_id"), ("supersession", "supersedes_id"))])
+    links = r.join(past, "id", "left_anti").select("project_id", "id", F.inline(said)).where("id <> other")
+    known = links.join(r.select("project_id", F.col("id").alias("other")), ["project_id", "other"])
+    return known.select("project_id", "kind", F.least("id", "other").alias("left_id"), F.greatest("id", "other").alias("right_id")).distinct()
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+VIEW_SQL["v_names"] = f"SELECT DISTINCT array_to_string({_WORDS.format(c='text')}[1:2], ' ') AS name FROM benchmark WHERE len({_WORDS.format(c='text')}) > 0"
+VIEW_SQL["v_worded"] = f"SELECT lang AS project_id, doc_id AS row_id, {_WORDS.format(c='text')} AS words FROM documents"
+VIEW_SQL["v_cutoff"] = "SELECT project_id, CAST(greatest(3, ceil(count(*) * 0.25)) AS BIGINT) AS most FROM v_worded GROUP BY project_id"
+
+
+@query("""WITH f AS (SELECT project_id, word, count(*) AS df FROM (SELECT project_id, unnest(list_distinct(words)) AS word FROM v_worded) GROUP BY ALL),
+n AS (SELECT DISTINCT c.project_id, n.name, c.most FROM v_names n, v_cutoff c, LATERAL (SELECT unnest(string_split(n.name, ' ')) AS word) w LEFT JOIN f ON f.project_id = c.project_id AND f.word = w.word
+  WHERE length(w.word) > 2 AND coalesce(f.df, 0) < c.most),
+m AS (SELECT n.project_id, n.name, n.most, w.row_id FROM n JOIN v_worded w ON w.project_id = n.project_id AND contains(' ' || array_to_string(w.words, ' ') || ' ', ' ' || n.name || ' ')),
+s AS (SELECT *, count(*) OVER (PARTITION BY project_id, name) AS n, min(row_id) OVER (PARTITION BY project_id, name) AS left_id FROM m)
+SELECT project_id, name, left_id, row_id AS right_id FROM s WHERE n BETWEEN 2 AND most AND row_id <> left_id""")
+def entity_edges(spark, sf):
+    """Rows that name the same entity, linked to the first of them. Names are the leading two words of the benchmark's items;
+    a name counts if one of its words (three characters or more) is in fewer rows than the project's cut-off, and links if
+    two rows or more, and no more than the cut-off, mention it as whole words."""
+    rows = materialize(views.spread(views.read(spark, sf, "documents")).select(F.col("lang").alias("project_id"), F.col("doc_id").alias("row_id"), mentions.words("text").alias("words")), "worded")
+    most = rows.groupBy("project_id").agg(F.greatest(F.lit(3), F.ceil(F.count("*") * 0.25)).cast("long").alias("most"))
+    names = views.read(spark, sf, "benchmark").select(F.array_join(F.slice(mentions.words("text"), 1, 2), " ").alias("name")).where("name <> ''").distinct()
+    df = rows.select("project_id", F.explode(F.array_distinct("words")).alias("word")).groupBy("project_id", "word").agg(F.count("*").alias("df"))
+    # a name that a project mentions has all its words there, so it is enough to look at words that the project has
+    spelled = names.select("name", F.explode(F.split("name", " ")).alias("word")).where(F.length("word") > 2)
+    usable = df.join(most, "project_id").where("df < most").join(spelled, "word").select("project_id", "name").distinct()
+    return mentions.stars(mentions.mentions(rows, usable), 2, most)
+
+
 VIEW_SQL["v_reach"] = "SELECT DISTINCT a AS node, b AS reach FROM (SELECT left_id AS a, right_id AS b FROM v_lexical UNION ALL SELECT right_id, left_id FROM v_lexical)"
 def themes(spark, sf) -> DataFrame:
     """(row_id, root) of rows that similar titles connect; root is the smallest id."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -304,9 +305,54 @@ def typed_details(spark, sf):
     return keyed.select("id", of("Decisions", "brand").alias("option_brand"), of("Risks_Issues", "impact_type").alias("impact_type"), of("Config_Changes", "cost").alias("cost_text"), "register_name")
 
 
+def advance(snapshots: sinks.Snapshots, events: DataFrame) -> int:
+    """Commit the replay of a log of human events as the next version: only events past the mark of the current one are
+    replayed, and merged with what it holds. The mark is the log's own number, so an event that was late in its time counts."""
+    now = snapshots.manifest()
+    mark = now["marks"].get("event_seq")
+    new = events if mark is None else events.where(F.col("event_seq") > mark)
+    last = new.agg(F.max("event_seq")).first()[0]
+    if last is None:
+        return now["version"]
+    state = scoring.replay(new)
+    if mark is not None:
+        state = scoring.merge_replays(state, snapshots.read("replay"))
+    return snapshots.commit({"replay": state}, {"event_seq": last}, base=now)
+
+
+@query("SELECT row_id, status, owner, due_date, resolution, has_status, has_owner, has_due, has_resolution, n_events FROM v_replayed")
+def snapshot_state(spark, sf):
+    """The register's state from a snapshot of the log's first half and the events after it: what a replay of the log gives."""
+    e = views.events(spark, sf)
+    half = e.agg(F.floor(F.avg("event_seq"))).first()[0]
+    snapshots = sinks.Snapshots(spark, f"{shared_dir(spark)}/register-{uuid.uuid4().hex}")
+    advance(snapshots, e.where(F.col("event_seq") <= F.lit(half)))
+    advance(snapshots, e)
+    return asserted(snapshots.read("replay"))
+
+
+@query("""SELECT 'rows' AS table_name, project_id, count(*) AS n_rows FROM v_rows GROUP BY ALL UNION ALL SELECT 'state', project_id, count(*) FROM v_state GROUP BY ALL
+UNION ALL SELECT 'scores', project_id, count(*) FROM v_scored GROUP BY ALL UNION ALL SELECT 'ops', r.project_id, count(*) FROM v_ops o LEFT JOIN v_rows r ON r.external_id = o.target_id GROUP BY ALL
+UNION ALL SELECT 'report', project_id, count(DISTINCT band) FROM v_scored GROUP BY ALL""")
+def snapshot_tables(spark, sf):
+    """Rows, state, scores, operations and a report of bands, committed as one version and read back from it."""
+    r, s = views.rows(spark, sf), materialize(scored(spark, sf), "scored")
+    operations = ops(spark, sf).join(r.select(F.col("external_id").alias("target_id"), "project_id"), "target_id", "left")
+    tables = {"rows": r, "state": current(spark, sf), "scores": s.select("external_id", "project_id", "score", "band"), "ops": operations, "report": s.groupBy("project_id", "band").agg(F.count("*").alias("n"), F.sum("score").alias("score"))}
+    snapshots = sinks.Snapshots(spark, f"{shared_dir(spark)}/register-{uuid.uuid4().hex}")
+    version = snapshots.commit(tables)
+    counts = [snapshots.read(name, version).groupBy("project_id").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "project_id", "n_rows") for name in tables]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 @query("SELECT project_id, count(*) AS n_rows, sum(score) AS score, count(DISTINCT external_id) AS n_ids FROM v_scored GROUP BY project_id")
 def snapshot_scores(spark, sf):
     """Scored rows written as a snapshot partitioned by project, and what a reader of it finds."""
     rows = scored(spark, sf).select("external_id", "project_id", "status", "owner", "due_date", "score", "band")
-    back = sinks.read_snapshot(spark, sinks.write_snapshot(rows, shared_dir(spark), "scores"), rows)
+    snapshots = sinks.Snapshots(spark, f"{shared_dir(spark)}/register-{uuid.uuid4().hex}")
+    snapshots.commit({"scores": rows})
+    back = snapshots.read("scores")
     return back.groupBy("project_id").agg(F.count("*").alias("n_rows"), F.sum("score").alias("score"), F.count_distinct("external_id").alias("n_ids"))

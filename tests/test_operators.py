@@ -13,11 +13,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from regista.functions import texts
-from regista.operators import matching, scoring, similarity, token_spans
+from regista.operators import matching, mentions, multiset, scoring, similarity, token_spans
 from regista.operators.graph import components
 from regista.plans import grading, state, views
 from regista.plans.streams import live_state
-from regista.sources import files, imports
+from regista.sources import files, imports, sinks
 from regista.streaming import jobs
 
 DAY = datetime.date
@@ -233,6 +233,46 @@ def test_sessions_over_batches_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, now.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_snapshots_swap_whole_versions(spark, tmp_path):
+    store = sinks.Snapshots(spark, f"file://{tmp_path}")
+    table = lambda n: spark.createDataFrame([(k % 2, k) for k in range(n)], "project_id int, v long")
+    assert store.manifest()["version"] == 0
+    assert store.commit({"a": table(3), "b": table(1)}, {"seen": 7}) == 1
+    base = store.manifest()
+    assert store.commit({"a": table(5)}) == 2
+    assert [store.read(n, v).count() for n, v in (("a", 1), ("a", 2), ("b", 2), ("a", None))] == [3, 5, 1, 5] and store.manifest()["marks"] == {"seen": 7}
+    with pytest.raises(RuntimeError):
+        store.commit({"a": table(9)}, base=base)  # another writer was first
+    assert store.expire(1) == [1] and store.versions() == [2] and store.read("b").count() == 1 and store.read("a").count() == 5
+
+
+def test_a_snapshot_and_later_events_are_a_replay(spark, sf, tmp_path):
+    store, e = sinks.Snapshots(spark, f"file://{tmp_path}"), views.events(spark, sf)
+    for upto in (0, 50, 50, 400, 10**9):
+        state.advance(store, e.where(F.col("event_seq") < upto))
+    assert sorted(map(str, state.asserted(store.read("replay")).collect())) == sorted(map(str, state.asserted(scoring.replay(e)).collect()))
+    assert store.versions() == [1, 2, 3] and state.advance(store, e) == 3
+
+
+def test_hashes_of_sets_follow_changes(spark):
+    rows = lambda *ks: spark.createDataFrame([(k % 2, str(k)) for k in ks], "g int, v string")
+    total = lambda r, sign=1: multiset.totals(r, ["g"], F.col("v"), sign)
+    seen = lambda t: {r.g: (r.n, r.h) for r in t.select("g", "n", multiset.digest().alias("h")).collect()}
+    want = seen(total(rows(1, 2, 3, 3, 8)))
+    assert seen(total(rows(3, 8, 1, 3, 2).repartition(3))) == want
+    assert seen(multiset.combined(total(rows(1, 2, 4, 5, 5, 3)), total(rows(5, 5, 4), -1), total(rows(8, 3)), group=["g"])) == want
+    assert seen(total(rows(1, 2, 3, 8))) != want
+
+
+def test_mentions_are_whole_words(spark):
+    rows = [("p", 1, "The Ops team, OPS!"), ("p", 2, "workshops and laptops"), ("p", 3, "new york-times; New York"), ("q", 4, "ops in new york"), ("p", 5, None), ("p", 6, "york new")]
+    table = spark.createDataFrame(rows, "project_id string, row_id long, text string").select("project_id", "row_id", mentions.words("text").alias("words"))
+    names = spark.createDataFrame([("p", "ops"), ("p", "New York"), ("p", "new york times"), ("p", ""), ("q", "ops"), ("p", "été")], "project_id string, name string")
+    found = mentions.mentions(table, names)
+    assert sorted(map(tuple, found.collect())) == [("p", 1, "ops"), ("p", 3, "New York"), ("p", 3, "new york times"), ("q", 4, "ops")]
+    assert mentions.mentions(table, names.where("false")).collect() == []
+
+
 def by_loop(sizes, target, overlap):
     """Windows (first, last, tokens), from 0, by the rule as it is said."""
     start, out = 0, []
