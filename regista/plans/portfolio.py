@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regista.operators.ranking import placed
+from regista.operators.substring import SubstringIndex
 from regista.plans import state, views
 from regista.plans.registry import query
+from regista.plans.store import materialize
 from regista.plans.views import VIEW_SQL
 
 AS_OF = state.AS_OF
@@ -108,12 +110,42 @@ def entity_reads(spark, sf):
     return placed(r, ["project_id"], [F.col("rank"), F.col("external_id")], "ranked_place").drop("rank")
 
 
-@query("SELECT external_id, title, status, due_date FROM v_rows WHERE (contains(lower(title), 'machinery') OR contains(lower(coalesce(owner, '')), '99') OR contains(lower(coalesce(severity, '')), 'crit')) AND status = 'open'")
+VIEW_SQL["v_searched"] = """SELECT s.project_id, s.register_name, s.external_id, s.title, s.status, s.due_date,
+  lower(s.external_id || ' ' || s.title || ' ' || coalesce(s.severity, '') || ' ' || coalesce(s.status, '') || ' SRC-' || s.source_id || ' ' || coalesce('segment ' || a.seq, '')) AS haystack
+FROM v_state s LEFT JOIN (SELECT row_id, min(seq) AS seq FROM v_anchors GROUP BY row_id) a ON a.row_id = s.external_id"""
+
+
+def searched(spark, sf) -> DataFrame:
+    """Current rows with the text that a search looks in: id, title, summary (here the severity), current status, source and
+    first anchor."""
+    s = state.current(spark, sf)
+    first = views.anchors(spark, sf).groupBy("row_id").agg(F.min("seq").alias("seq"))
+    j = s.join(first, F.col("row_id") == F.col("external_id"), "left")
+    said = F.concat(F.col("external_id").cast("string"), F.lit(" "), "title", F.lit(" "), F.coalesce("severity", F.lit("")), F.lit(" "), F.coalesce("status", F.lit("")), F.lit(" SRC-"), F.col("source_id").cast("string"), F.lit(" "), F.coalesce(F.concat(F.lit("segment "), F.col("seq").cast("string")), F.lit("")))
+    return j.select("project_id", "register_name", "external_id", "title", "status", "due_date", F.lower(said).alias("haystack"))
+
+
+#: What the registered search asks for: part of an id and of a segment's field, a status, and a sort key (id, title or status).
+TERM, STATUS, SORT = "7 machinery", "open", "title"
+
+
+@query(f"""SELECT register_name, external_id, title, status, due_date, row_number() OVER (PARTITION BY register_name ORDER BY {SORT}, external_id) AS place
+FROM v_searched WHERE contains(haystack, '{TERM}') AND status = '{STATUS}'""")
 def register_search(spark, sf):
-    """Lower-case substring search over the fields of a row, filtered by status."""
-    r = views.rows(spark, sf)
-    hit = F.lower("title").contains("machinery") | F.lower(F.coalesce("owner", F.lit(""))).contains("99") | F.lower(F.coalesce("severity", F.lit(""))).contains("crit")
-    return r.where(hit & (F.col("status") == "open")).select("external_id", "title", "status", "due_date").orderBy(F.col("due_date").asc_nulls_last(), "external_id")
+    """Rows that hold a text in any of six fields, case aside, by their postings; of one status, and their place by the sort key
+    in their register."""
+    rows = materialize(searched(spark, sf), "searched")
+    found = rows.join(SubstringIndex(rows, ["external_id"], "haystack").search(TERM), "external_id", "left_semi").where(F.col("status") == STATUS)
+    key = {"id": "external_id", "title": "title", "status": "status"}[SORT]
+    out = placed(found, ["register_name"], [F.col(key), F.col("external_id")], "place")
+    return out.select("register_name", "external_id", "title", "status", "due_date", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT register_name, status, count(*) AS n_rows, row_number() OVER (PARTITION BY register_name ORDER BY status) AS place FROM v_searched WHERE status <> '' GROUP BY register_name, status")
+def register_statuses(spark, sf):
+    """The statuses that a register's rows have now, in order, for its filter."""
+    n = searched(spark, sf).where("status <> ''").groupBy("register_name", "status").agg(F.count("*").alias("n_rows"))
+    return placed(n, ["register_name"], [F.col("status")], "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT s.external_id, s.status, coalesce(a.n_anchors, 0) AS n_anchors, a.first_anchor, a.anchors, s.n_events, e.last_verb, s.score FROM v_scored s LEFT JOIN (SELECT row_id, count(*) AS n_anchors, arg_min(source_id, (line_no, source_id, seq)) AS first_anchor, string_agg(source_id || ':' || seq, ',' ORDER BY line_no, source_id, seq) AS anchors FROM v_anchors GROUP BY row_id) a ON a.row_id = s.external_id LEFT JOIN (SELECT row_id, arg_max(verb, (occurred_at, event_seq)) AS last_verb FROM v_events GROUP BY row_id) e ON e.row_id = s.external_id")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from regista.functions import texts
-from regista.operators import matching, mentions, multiset, scoring, similarity, token_spans
+from regista.operators import matching, mentions, multiset, scoring, similarity, substring, token_spans
 from regista.operators.graph import components
 from regista.plans import grading, state, views
 from regista.plans.streams import live_state
@@ -273,6 +273,17 @@ def test_mentions_are_whole_words(spark):
     assert mentions.mentions(table, names.where("false")).collect() == []
 
 
+def test_substring_search_equals_a_scan(spark, tmp_path):
+    texts = ["New York", "newyork", None, "", "ab", "aaaa", "a.b%c_d", "Ünïcode ÜN", "york new", "aab aaa", "x" * 5000 + "needle"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    index = substring.SubstringIndex(rows, ["k"], "t", f"file://{tmp_path}/index")
+    for term in ("new", "york", "NEW YORK", "a", "ab", "aaa", "b%c_", "ün", "ünï", "needle", "zzz", "", "aab aaa b"):
+        want = sorted(k for k, t in enumerate(texts) if term.lower() in (t or "").lower())
+        assert sorted(r.k for r in index.search(term).collect()) == want, term
+    plan = index.postings("york")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
 def by_loop(sizes, target, overlap):
     """Windows (first, last, tokens), from 0, by the rule as it is said."""
     start, out = 0, []
