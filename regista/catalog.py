@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regista.plans import analytics, documents, evidence, grading, portfolio, reconcile, runs, sources, state, streams, text  # noqa: F401
+from regista.plans import analytics, documents, evidence, grading, packets, portfolio, reconcile, runs, sources, state, streams, text  # noqa: F401
 from regista.plans.registry import ORACLES, QUERIES
 
 

@@ -138,8 +138,8 @@ def row_contract(spark, sf):
 
 
 @query("SELECT changeset_id, n_rows, coalesce(n_blockers, 0) AS n_blockers, coalesce(n_warnings, 0) AS n_warnings, CASE WHEN coalesce(n_blockers, 0) > 0 THEN 'quarantined' WHEN coalesce(n_warnings, 0) > 0 THEN 'warnings' ELSE 'clean' END AS verdict FROM (SELECT changeset_id, count(*) AS n_rows FROM v_ops GROUP BY 1) LEFT JOIN (SELECT changeset_id, count_if(severity = 'blocker') AS n_blockers, count_if(severity = 'warning') AS n_warnings FROM v_issues GROUP BY 1) USING (changeset_id)")
-def packet_verdict(spark, sf):
-    """Verdict of each packet over all its rules: any blocker quarantines it; packets without issues are clean."""
+def contract_verdict(spark, sf):
+    """Verdict of each changeset over the four rules of ``row_contract``; ``packet_verdict`` judges by all rules."""
     total = state.ops(spark, sf).groupBy("changeset_id").agg(F.count("*").alias("n_rows"))
     i = issues(spark, sf).groupBy("changeset_id").agg(F.count_if(F.col("severity") == "blocker").alias("n_blockers"), F.count_if(F.col("severity") == "warning").alias("n_warnings"))
     out = total.join(i, "changeset_id", "left").na.fill(0, ["n_blockers", "n_warnings"])
