@@ -2,8 +2,8 @@
 
 Detection finds e-mail addresses, phone, card and account numbers, social security numbers, network addresses, secrets and
 personal names. Each entity (kind and canonical form) goes to its image under a keyed permutation of all entities of its
-kind and shape: a Feistel network ``P`` over the shape's mixed-radix numbers, used as x -> P^-1(P(x) + 1). That is one
-cycle through the whole shape, so that
+kind and shape: a keyed order of all where the shape has few elements, else a Feistel network ``P`` over the shape's
+mixed-radix numbers, used as x -> P^-1(P(x) + 1). Either is one cycle through the whole shape, so that
 
 * different entities have different surrogates and none is its own, however full the shape is, without any state;
 * one entity has one surrogate in every document and format (coreference);
@@ -30,7 +30,9 @@ import unicodedata
 from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import prod
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,14 +210,39 @@ def kin(c: str, sound: bool = False) -> str:
     return "".join(x for x in map(chr, range(block, block + 256)) if x.isalpha() and kind(x) == kind(c))
 
 
+#: Shapes of up to so many elements are put in a keyed order as a whole.
+SMALL = 4096
+
+
+@lru_cache(512)
+def following(stem: bytes, n: int) -> np.ndarray:
+    """The number after each of ``n`` in a keyed order of them that closes to a cycle."""
+    order = np.frombuffer(hashlib.shake_256(stem).digest(8 * n), "<u8").argsort(kind="stable")
+    after = np.empty(n, np.int64)
+    after[order] = np.roll(order, -1)
+    return after
+
+
 def cycled(key: bytes, tweak: str, digits: list[int], radices: list[int]) -> list[int]:
-    """The number after the given one (as mixed-radix digits) in the keyed cycle through all numbers of these radices."""
-    half = len(digits) // 2
+    """The number after the given one (as mixed-radix digits) in the keyed cycle through all numbers of these radices: a keyed
+    order of all of them where they are few, a Feistel network over two halves of the free digits where they are many."""
+    stem = key + tweak.encode() + repr(radices).encode()
+    size = prod(radices)
+    if size <= SMALL:
+        value = 0
+        for d, r in zip(digits, radices, strict=True):
+            value = value * r + d
+        value, out = int(following(stem, size)[value]), []
+        for r in reversed(radices):
+            value, d = divmod(value, r)
+            out.append(d)
+        return out[::-1]
+    free = [i for i, r in enumerate(radices) if r > 1]
+    half = free[len(free) // 2]  # two free digits at least: one alone is a small shape
     sizes, values = [1, 1], [0, 0]
     for i, (d, r) in enumerate(zip(digits, radices, strict=True)):
         side = i >= half
         sizes[side], values[side] = sizes[side] * r, values[side] * r + d
-    stem = key + tweak.encode() + repr(radices).encode()
 
     def shift(step: int) -> int:
         side = step % 2

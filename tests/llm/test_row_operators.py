@@ -171,6 +171,26 @@ def test_surrogates_are_one_to_one(kind):
         assert [pii.luhn(x) for x in real] == [pii.luhn(x) for x in new]
 
 
+@pytest.mark.parametrize("radices", [[2], [3], [26], [1, 1, 156], [5, 20], [1, 90, 156], [2, 10, 10, 10, 10]])
+def test_every_shape_is_one_cycle_that_the_key_decides(radices):
+    """Also where one place is free; two elements have one order only."""
+    places = list(itertools.product(*map(range, radices)))
+    after = {k: {p: tuple(pii.cycled(k, "t", list(p), radices)) for p in places} for k in (b"one", b"two", b"three")}
+    for step in after.values():
+        at, seen = places[0], set()
+        while at not in seen:
+            seen.add(at)
+            at = step[at]
+        assert len(seen) == len(places)
+    same = sum(after[b"one"][p] == after[b"two"][p] == after[b"three"][p] for p in places)
+    assert len(places) == 2 or same <= max(1, len(places) // 10)
+
+
+def test_surrogates_of_short_names_and_mailboxes_depend_on_the_key():
+    for kind, canon in (("email", "a@example.com"), ("email", "q@x.example.org"), ("name", "li"), ("name", "ng")):
+        assert len({pii.surrogate(b"key%d" % i, kind, canon) for i in range(20)}) > 3
+
+
 def test_given_names_stay_in_their_lists():
     for gender, names in pii.GIVEN.items():
         low = {n.lower() for n in names}
