@@ -227,32 +227,62 @@ def _mapped_sql(c: str, table, otherwise: str) -> tuple[str, str]:
     return f"CASE {cases} ELSE '{otherwise}' END", "regexp_matches(" + wording + ", '" + "|".join(p for p, _ in table) + "')"
 
 
+RISK = [("issue|problem|defect", "issue"), ("risk|threat", "risk")]
+_R = _mapped_sql("kind_text", RISK, "risk")
+VIEW_SQL["v_kinds"] = "SELECT s.*, n.text AS kind_text FROM v_state s LEFT JOIN v_notes n ON n.note_id = s.external_id"
+
+
+def with_kind_text(spark, sf) -> DataFrame:
+    """The current rows with the wording their kind is read from: the note of the row."""
+    return current(spark, sf).join(views.notes(spark, sf).select(F.col("note_id").alias("external_id"), F.col("text").alias("kind_text")), "external_id", "left")
+
+
 _D, _M = _mapped_sql("status", DECISION, "awaiting-user"), _mapped_sql("status", MILESTONE, "not-started")
 
 
 @query(f"""SELECT status, severity, likelihood, {_D[0]} AS decision, {_D[1]} AS decision_known, {_M[0]} AS milestone, {_M[1]} AS milestone_known,
 CASE WHEN {_fold("severity")} IN ('low','medium','high','critical') THEN {_fold("severity")} ELSE 'unknown' END AS severity_value, CASE WHEN replace({_fold("likelihood")}, ' ', '-') IN ('unlikely','possible','likely','almost-certain') THEN replace({_fold("likelihood")}, ' ', '-') END AS likelihood_value,
-count(*) AS n_rows FROM v_state GROUP BY ALL""")
+{_R[0]} AS kind, {_R[1]} AS kind_known, {_fold("severity")} IN ('', 'low', 'medium', 'high', 'critical') AS severity_known, replace({_fold("likelihood")}, ' ', '-') IN ('', 'unlikely', 'possible', 'likely', 'almost-certain') AS likelihood_known,
+count(*) AS n_rows FROM v_kinds GROUP BY ALL""")
 def status_map(spark, sf):
     d, m = mapped("status", DECISION, "awaiting-user"), mapped("status", MILESTONE, "not-started")
     sev, like = folded("severity"), F.regexp_replace(folded("likelihood"), " ", "-")
     cols = {"decision": d[0], "decision_known": d[1], "milestone": m[0], "milestone_known": m[1], "severity_value": F.when(sev.isin("low", "medium", "high", "critical"), sev).otherwise("unknown"), "likelihood_value": F.when(like.isin("unlikely", "possible", "likely", "almost-certain"), like)}
-    return current(spark, sf).withColumns(cols).groupBy("status", "severity", "likelihood", *cols).agg(F.count("*").alias("n_rows"))
+    kind = mapped("kind_text", RISK, "risk")
+    cols |= {"kind": kind[0], "kind_known": kind[1], "severity_known": sev.isin("", "low", "medium", "high", "critical"), "likelihood_known": like.isin("", "unlikely", "possible", "likely", "almost-certain")}
+    return with_kind_text(spark, sf).withColumns(cols).groupBy("status", "severity", "likelihood", *cols).agg(F.count("*").alias("n_rows"))
 
 
-TABLES = {"Decisions": "decisions", "Actions": "actions", "Risks_Issues": "risks_issues", "Config_Changes": "changes", "Open_Questions": "open_questions", "Milestones": "milestones"}
+TABLES = {"Decisions": "decisions", "Actions": "actions", "Risks_Issues": "risks_issues", "Config_Changes": "changes", "Open_Questions": "open_questions", "Milestones": "milestones", "Sources": "project_sources"}
 _TABLE = "CASE register_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TABLES.items()) + " END"
 
 
-@query(f"""SELECT {_TABLE} AS table_name, project_id, external_id AS id, title, CASE WHEN register_name = 'Decisions' THEN {_D[0]} WHEN register_name = 'Milestones' THEN {_M[0]} ELSE status END AS status, coalesce(owner, 'Unassigned') AS owner,
-CASE WHEN register_name = 'Milestones' THEN coalesce(due_date, DATE '9999-12-31') ELSE due_date END AS due_date FROM v_state WHERE {_TABLE} IS NOT NULL""")
+_UNREAD = f"CASE WHEN register_name = 'Decisions' AND NOT {_D[1]} OR register_name = 'Milestones' AND NOT {_M[1]} THEN coalesce(status, 'open') WHEN register_name = 'Risks_Issues' AND NOT {_R[1]} THEN 'type ' || kind_text END"
+
+
+@query(f"""SELECT {_TABLE} AS table_name, project_id, external_id AS id, title,
+  CASE WHEN register_name = 'Decisions' THEN {_D[0]} WHEN register_name = 'Milestones' THEN {_M[0]} WHEN register_name <> 'Sources' THEN coalesce(status, 'open') END AS status,
+  CASE WHEN register_name <> 'Sources' THEN coalesce(owner, 'Unassigned') END AS owner,
+  CASE register_name WHEN 'Milestones' THEN coalesce(due_date, DATE '9999-12-31') WHEN 'Sources' THEN NULL ELSE due_date END AS due_date,
+  CASE WHEN register_name = 'Risks_Issues' THEN {_R[0]} END AS kind, CASE WHEN register_name = 'Actions' THEN coalesce(nullif({_fold("severity")}, ''), 'medium') END AS priority, CASE WHEN register_name = 'Open_Questions' THEN blocking END AS blocking,
+  CASE WHEN register_name = 'Sources' THEN 'source-intelligence' END AS source_type, CASE WHEN register_name = 'Sources' THEN CAST(source_id AS VARCHAR) END AS external_path, {_UNREAD} AS unrecognised
+FROM (SELECT * REPLACE (coalesce(status, 'open') AS status) FROM v_kinds) WHERE {_TABLE} IS NOT NULL""")
 def project_tables(spark, sf):
-    """Operational rows: each register's own table, with its defaults."""
-    s = current(spark, sf)
+    """Operational rows: each register's own table (seven) with its defaults, and the wording that no mapping recognised."""
+    s = with_kind_text(spark, sf).withColumn("status", F.coalesce("status", F.lit("open")))
     name = F.create_map(*[F.lit(x) for kv in TABLES.items() for x in kv])[F.col("register_name")]
-    status = F.when(F.col("register_name") == "Decisions", mapped("status", DECISION, "awaiting-user")[0]).when(F.col("register_name") == "Milestones", mapped("status", MILESTONE, "not-started")[0]).otherwise(F.col("status"))
-    due = F.when(F.col("register_name") == "Milestones", F.coalesce("due_date", F.lit("9999-12-31").cast("date"))).otherwise(F.col("due_date"))
-    return s.where(F.col("register_name").isin(list(TABLES))).select(name.alias("table_name"), "project_id", F.col("external_id").alias("id"), "title", status.alias("status"), F.coalesce("owner", F.lit("Unassigned")).alias("owner"), due.alias("due_date"))
+    register = F.col("register_name")
+    d, m, k = mapped("status", DECISION, "awaiting-user"), mapped("status", MILESTONE, "not-started"), mapped("kind_text", RISK, "risk")
+    own = register != "Sources"
+    status = F.when(register == "Decisions", d[0]).when(register == "Milestones", m[0]).when(own, F.col("status"))
+    due = F.when(register == "Milestones", F.coalesce("due_date", F.lit("9999-12-31").cast("date"))).when(own, F.col("due_date"))
+    unread = F.when((register == "Decisions") & ~d[1] | (register == "Milestones") & ~m[1], F.col("status")).when((register == "Risks_Issues") & ~k[1], F.concat(F.lit("type "), "kind_text"))
+    priority = folded("severity")
+    return s.where(register.isin(list(TABLES))).select(
+        name.alias("table_name"), "project_id", F.col("external_id").alias("id"), "title", status.alias("status"), F.when(own, F.coalesce("owner", F.lit("Unassigned"))).alias("owner"), due.alias("due_date"),
+        F.when(register == "Risks_Issues", k[0]).alias("kind"), F.when(register == "Actions", F.when(priority != "", priority).otherwise("medium")).alias("priority"), F.when(register == "Open_Questions", F.col("blocking")).alias("blocking"),
+        F.when(~own, "source-intelligence").alias("source_type"), F.when(~own, F.col("source_id").cast("string")).alias("external_path"), unread.alias("unrecognised"),
+    )
 
 
 @query(f"""SELECT external_id, by_band OR unread AS needs, CASE WHEN by_band OR unread THEN concat_ws('. ', CASE WHEN by_band THEN band || ' band; explainable score ' || score || '; ' || CASE WHEN ownership = 'unowned' THEN 'no owner recorded' ELSE 'owned by the implementation consultant' END END,
