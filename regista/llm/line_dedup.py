@@ -53,24 +53,29 @@ def symbols(docs: DataFrame) -> DataFrame:
 
 def named(rows: DataFrame, *content: str) -> DataFrame:
     """(d, k, pos, name, and further columns) of the rows whose content occurs at least twice; ``name`` is its first place. The aggregation
-    combines before its shuffle, and the join back splits frequent contents, so no content gathers in one task."""
+    combines before its shuffle, and the join back splits frequent contents, so no content gathers in one task. A place
+    has one row in ``rows``."""
     first = rows.groupBy(*content).agg(F.min(F.struct(*DOC, "pos")).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
     own = [c for c in rows.columns if c in ("words", "last")]
     again = rows.join(materialize(first, "names").hint("merge"), list(content)).select(*DOC, "pos", "name", *own)
-    return materialize(again.distinct(), "runs")
+    return materialize(again, "runs")
 
 
 def following(runs: DataFrame, shift: int) -> DataFrame:
-    """(d, k, pos, a, b): names at pos and at pos + shift; with counts, for a shift of one line, those of both together."""
+    """(d, k, pos, a, b): names at pos and at pos + shift; with counts, for a shift of one line, those of both together. One
+    shuffle by document, whose lines are those of one text."""
     own = [c for c in runs.columns if c == "words"]
-    later = runs.select(*DOC, (F.col("pos") - shift).alias("pos"), F.col("name").alias("b"), *[F.col("last") for _ in own])
-    both = runs.select(*DOC, "pos", F.col("name").alias("a"), *own).join(later, [*DOC, "pos"])
+    there = Window.partitionBy(*DOC).orderBy("pos").rangeBetween(shift, shift)
+    both = runs.select(*DOC, "pos", F.col("name").alias("a"), *own, F.first("name").over(there).alias("b"), *[F.first("last").over(there).alias("last") for _ in own])
+    both = both.where("b IS NOT NULL")
     return both.withColumn("words", F.col("words") + F.col("last")) if own else both
 
 
 def levels(lines: DataFrame, min_lines: int, min_words: int | None) -> list[tuple[int, DataFrame]]:
     """(length, named runs of that length), from single lines over ``min_lines`` lines to the end of all repetition."""
     runs, span = named(lines, "h", "g"), 1
+    # rows repeated whole give a place more than once; places stay single from here on
+    runs = materialize(runs.dropDuplicates([*DOC, "pos"]), "places")
     out = [(span, runs)]
     while span < min_lines:
         shift = 1 if min_words else min(span, min_lines - span)
