@@ -38,6 +38,16 @@ def smallest_hashes(rows: DataFrame, most: int, seed: int, *key: str) -> DataFra
     return rows.orderBy(h, *key).limit(most)
 
 
+def fitting(sizes: list[int], most: int) -> list[bool]:
+    """Which of a bounded sample's members to take, in order, so that their sizes add up to at most ``most``: one that does
+    not fit is passed over, and smaller ones after it are still taken."""
+    out, left = [], most
+    for size in sizes:
+        out.append(size <= left)
+        left -= size if out[-1] else 0
+    return out
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The text column of a batch, nulls as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

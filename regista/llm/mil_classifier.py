@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import doc_key, smallest_hashes, stretches
+from regista.llm.common import doc_key, fitting, smallest_hashes, stretches
 
 PASSAGE = 512
 #: Longer texts are encoded in blocks of so many bytes (a multiple of PASSAGE), passages scored by so many at a time, and
@@ -182,7 +182,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, passages: int = 200_000, seed: int = 5, **options) -> Model:
     """Train on labelled documents that aren't held out, smallest hashes first: at most ``most`` of them, with at most
-    ``passages`` passages in all (about 100 MB of features on the driver). Rows that repeat an id and text count once."""
+    ``passages`` passages in all (about 100 MB of features on the driver); a text that no longer fits is passed over. Rows that repeat an id and text count once."""
     spark = docs.sparkSession
     label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
     label = label.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, passages: int = 20
     sized = keyed.select("id", "k", F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE)).alias("size"))
     sized = sized.groupBy("id", "k").agg(F.max("size").alias("size")).join(label, "id")
     rows = smallest_hashes(sized, most, seed, "id", "k").collect()  # ``most`` rows of numbers
-    fits = np.cumsum([r["size"] for r in rows]) <= passages
+    fits = fitting([r["size"] for r in rows], passages)
     chosen = spark.createDataFrame([(r.id, r.k, r.quality) for r, ok in zip(rows, fits, strict=True) if ok], "id long, k long, quality int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import NULL_ID, doc_key, id_key, materialize, smallest_hashes, stretches, texts
+from regista.llm.common import NULL_ID, doc_key, fitting, id_key, materialize, smallest_hashes, stretches, texts
 from regista.operators.graph import components
 
 WORDS = 5
@@ -127,10 +127,11 @@ class Sample:
 
 
 def drawn(docs: DataFrame, sampled: int, longest: int = 4_000_000) -> list[str]:
-    """Texts of the ``sampled`` documents with the smallest hashes, as many as hold ``longest`` characters."""
+    """Texts of the ``sampled`` documents with the smallest hashes, of which those that no longer fit into ``longest`` characters
+    are passed over."""
     keyed = docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), F.char_length("text").alias("size")).where("size > 0")
     rows = smallest_hashes(keyed.distinct(), sampled, 29, "d", "k").collect()  # ``sampled`` rows
-    fits = np.cumsum([r["size"] for r in rows]) <= longest
+    fits = fitting([r["size"] for r in rows], longest)
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r.d, r.k) for r, ok in zip(rows, fits, strict=True) if ok], "d long, k long")
     texts_ = docs.select(id_key("doc_id").alias("d"), doc_key().alias("k"), "text").join(F.broadcast(chosen), ["d", "k"])

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from regista.llm import line_dedup, ngram_join, suffix_dedup
+from regista.llm.common import fitting
 
 DOC = "doc_id long, text string, lang string"
 
@@ -210,6 +211,14 @@ def test_prefixes_are_shortened_to_the_recall():
     assert ngram_join.shortened([0.5] * 8, 0.8, 20, 8, 0.9) == 1
 
 
+def test_a_sample_passes_over_texts_that_do_not_fit(spark):
+    assert fitting([3, 9, 2, 4, 1], 6) == [True, False, True, False, True] and fitting([], 5) == []
+    # whichever document comes first, one of over the bound takes no other's place
+    rows = [(i, "some words " * (500 if i % 5 == 0 else 3)) for i in range(20)]
+    texts = ngram_join.drawn(spark.createDataFrame(rows, "doc_id long, text string"), 20, longest=1000)
+    assert sorted(map(len, texts)) == [33] * 16
+
+
 def test_recall_is_measured_on_exact_partners(spark):
     rows = near_rows(9)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
