@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regista.plans.store import materialize
+
 ENTITIES = ("actions", "risksIssues", "decisions", "openQuestions", "milestones", "workPackages", "activity", "aiWork")
 _RECORD = "array<struct<id:string,title:string,status:string,owner:string,updatedAt:string,dueDate:string,severity:string,priority:string>>"
 _PORTFOLIO = "schemaVersion int, dataClassification string, asOf string, projects array<struct<id:string,name:string,code:string,owner:string," + ",".join(f"{e}:{_RECORD}" for e in ENTITIES) + ">>"
@@ -23,6 +25,18 @@ def portfolio_text(documents: DataFrame, text: str = "text") -> dict[str, DataFr
     return entities(documents.select(F.from_json(text, _PORTFOLIO).alias("d")).select("d.*"))
 
 
+def portfolio_records(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(entity, project_id, id, title, status, due_on) of every record of such documents, the projects among them: one pass
+    over the texts, however many entities there are."""
+    shape = "array<struct<entity:string,id:string,title:string,status:string,due_on:string>>"
+    p = documents.select(F.from_json(text, _PORTFOLIO).alias("d")).select(F.inline("d.projects"))
+    none = F.lit(None).cast("string")
+    own = F.array(F.struct(F.lit("projects"), "id", "name", none, none)).cast(shape)
+    record = lambda e: lambda r: F.struct(F.lit(e), r["id"], r["title"], r["status"], r["dueDate"])
+    held = [F.coalesce(F.transform(e, record(e)).cast(shape), F.array().cast(shape)) for e in ENTITIES]
+    return p.select(F.col("id").alias("project_id"), F.inline(F.concat(own, *held))).select("entity", "project_id", "id", "title", "status", "due_on")
+
+
 def entities(documents: DataFrame) -> dict[str, DataFrame]:
     projects = documents.select(F.inline("projects"))
     tables = {"projects": projects.select("id", "name", "code", "owner")}
@@ -67,8 +81,10 @@ def packets(documents: DataFrame, registers: list[str]) -> DataFrame:
 
 
 def imported(documents: DataFrame, registers: list[str]) -> DataFrame:
-    """(packet, register_name, external_id, reason) of all packets: their rows, or one row that says why they are refused."""
-    seen = screened(documents)
+    """(packet, register_name, external_id, reason) of all packets: their rows, or one row that says why they are refused.
+    The documents are stored first: texts made of gathered lists may come out in another order when they are made again, and
+    then a packet would not be found among the contents."""
+    seen = screened(materialize(documents, "documents"))
     taken = packets(seen.where("refused IS NULL"), registers).select("packet", "register_name", "external_id", "reason")
     none = F.lit(None).cast("string")
     return taken.unionByName(seen.where("refused IS NOT NULL").select("packet", none.alias("register_name"), none.alias("external_id"), F.col("refused").alias("reason")))
