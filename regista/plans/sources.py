@@ -111,12 +111,7 @@ def portfolio_documents(spark, sf) -> DataFrame:
 UNION ALL SELECT {_KIND}, 'P' || l_orderkey, l_orderkey || '-' || l_linenumber, 'Part ' || l_partkey, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def import_entities(spark, sf):
     """Portfolio documents taken apart: one row per record of each entity, with its project."""
-    tables = imports.portfolio_text(portfolio_documents(spark, sf))
-    none = F.lit(None).cast("string")
-    out = tables["projects"].select(F.lit("projects").alias("entity"), F.col("id").alias("project_id"), "id", F.col("name").alias("title"), none.alias("status"), none.alias("due_on"))
-    for name in imports.ENTITIES:
-        out = out.unionByName(tables[name].select(F.lit(name).alias("entity"), "project_id", "id", "title", "status", F.col("dueDate").alias("due_on")))
-    return out
+    return imports.portfolio_records(portfolio_documents(spark, sf))
 
 
 def packet_documents(spark, sf) -> DataFrame:
