@@ -142,6 +142,23 @@ def test_dice_pairs_lose_nothing(spark, threshold):
     assert got == want
 
 
+def test_dice_pairs_of_two_tables_leave_their_blocks_only_when_alike(spark, monkeypatch):
+    """Many blocks, rows of one size over several of them, nulls and empty rows; the pairs come straight out of the blocks, so
+    that none is shuffled before it is known to be alike."""
+    monkeypatch.setattr(similarity, "SMALL", 40)
+    monkeypatch.setattr(similarity, "PLACES", 7)
+    draw = random.Random(5)
+    make = lambda k: [(draw.choice("xy"), 2 * i + k, sorted(draw.sample("abcdefghijkl", draw.randrange(0, 5)))) for i in range(60)] + [(None, 900 + k, ["a"])]
+    one, two = make(0), make(1)
+    table = lambda rows: spark.createDataFrame(rows, "project_id string, row_id long, tokens array<string>")
+    for t in (0.35, 0.75):
+        pairs = similarity.dice_pairs(table(one), t, other=table(two))
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString().strip()
+        assert plan.startswith("FlatMapGroupsInArrow")
+        want = {(p, i, j, len(set(a) & set(b))) for p, i, a in one for q, j, b in two if p == q and p and a and b and 2 * len(set(a) & set(b)) >= t * (len(a) + len(b)) - 1e-9}
+        assert sorted((r.project_id, r.left_id, r.right_id, r.shared) for r in pairs.collect()) == sorted(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10**6))
 def test_assignment_is_optimal(n, m, seed):
