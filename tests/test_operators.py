@@ -159,6 +159,31 @@ def test_dice_pairs_of_two_tables_leave_their_blocks_only_when_alike(spark, monk
         assert sorted((r.project_id, r.left_id, r.right_id, r.shared) for r in pairs.collect()) == sorted(want)
 
 
+def test_elements_of_pairs_are_counted_by_blocks_not_by_pairs(spark, monkeypatch):
+    """Every pair of a group of near copies, its shared elements against brute force; a row without any, and a row's elements
+    travel once for each block it has partners in."""
+    monkeypatch.setattr(similarity, "SMALL", 200)
+    draw = random.Random(6)
+    sets = [("x", i, sorted(draw.sample(range(-15, 15), 20)), [] if i == 5 else sorted(draw.sample(range(-9, 9), draw.randrange(1, 9)))) for i in range(60)]
+    table = spark.createDataFrame([(p, i, [str(t) for t in ts], e) for p, i, ts, e in sets], "project_id string, row_id long, tokens array<string>, elements array<long>")
+    pairs = similarity.dice_pairs(table.where("row_id % 2 = 0").drop("elements"), 0.35, other=table.where("row_id % 2 = 1").drop("elements"))
+    out = similarity.also_shared(pairs, table.select("row_id", "elements"), "bigrams")
+    of = {i: (set(ts), set(e)) for _, i, ts, e in sets}
+    want = {(a, b): len(of[a][1] & of[b][1]) for a in of for b in of if a % 2 == 0 and b % 2 == 1 and 2 * len(of[a][0] & of[b][0]) >= 0.35 * 40 - 1e-9}
+    assert {(r.left_id, r.right_id): r.bigrams for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().strip().startswith("FlatMapCoGroupsInArrow")
+
+
+def test_bigrams_of_pairs_do_not_travel_by_pair(spark, tmp_path):
+    """In the evidence of pairs no join that follows the pairs carries lists."""
+    g = spark.createDataFrame([("x", i, i % 2, ["a", "b", "c", str(i % 3)], "s") for i in range(12)], "project_id string, row_id long, side int, toks array<string>, source string")
+    facts = grading.pair_facts(g)
+    got = {(r.left_id, r.right_id): r.bigrams for r in facts.collect()}
+    assert got == {(a, b): 3 if a % 3 == b % 3 else 2 for a in range(0, 12, 2) for b in range(1, 12, 2)}
+    above = facts._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert "grams_left" not in above and "array_intersect" not in above
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10**6))
 def test_assignment_is_optimal(n, m, seed):
