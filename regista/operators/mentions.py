@@ -19,13 +19,15 @@ def mentions(rows: DataFrame, names: DataFrame, group: str = "project_id") -> Da
 
     A name is mentioned where its words stand in a row one after another. Names are counted by their number of words, and for
     each number the runs of so many words of a row meet the names by hash; what meets is then compared word by word. A run
-    travels only if it starts with a word that starts a name of the group. Names without a word are never mentioned."""
+    travels only if it starts with a word that starts a name of the group. Each place of a row takes along as many words as the
+    longest name has, not the row, so work follows the number of words. Names without a word are never mentioned."""
     parts = names.select(group, "name", words("name").alias("parts")).where(F.size("parts") > 0).withColumn("size", F.size("parts"))
     parts = materialize(parts.distinct(), "names")
     sizes = [r["size"] for r in parts.select("size").distinct().orderBy("size").collect()]  # as many as there are lengths of names
     starts = parts.select(group, F.col("parts")[0].alias("first")).distinct()
-    placed = rows.select(group, "row_id", "words", F.posexplode("words").alias("at", "first")).join(starts, [group, "first"])
-    runs = F.array(*[F.when(F.col("at") + n <= F.size("words"), F.slice("words", F.col("at") + 1, n)) for n in sizes]) if sizes else F.array().cast("array<array<string>>")
+    ahead = F.transform(F.sequence(F.lit(1), F.size("words")), lambda at: F.slice("words", at, F.lit(max(sizes, default=1))))
+    placed = rows.where(F.size("words") > 0).select(group, "row_id", F.explode(ahead).alias("ahead")).withColumn("first", F.col("ahead")[0]).join(starts, [group, "first"])
+    runs = F.array(*[F.when(F.size("ahead") >= n, F.slice("ahead", 1, n)) for n in sizes]) if sizes else F.array().cast("array<array<string>>")
     met = placed.select(group, "row_id", F.explode(F.filter(runs, lambda r: r.isNotNull())).alias("run")).withColumn("hash", F.xxhash64("run")).distinct()
     return met.join(parts.withColumn("hash", F.xxhash64("parts")), [group, "hash"]).where("run = parts").select(group, "row_id", "name").distinct()
 

@@ -344,6 +344,14 @@ def test_mentions_are_whole_words(spark):
     assert mentions.mentions(table, names.where("false")).collect() == []
 
 
+def test_places_of_words_do_not_take_the_whole_row_along(spark):
+    """Every place of a long text meets the names: with the text itself beside each place the work grew with its square."""
+    table = spark.createDataFrame([("p", 1, ["w"] * 9 + ["new", "york"]), ("p", 2, []), ("p", 3, ["new"])], "project_id string, row_id long, words array<string>")
+    found = mentions.mentions(table, spark.createDataFrame([("p", "new york"), ("p", "w")], "project_id string, name string"))
+    assert sorted(map(tuple, found.collect())) == [("p", 1, "new york"), ("p", 1, "w")]
+    assert "posexplode(words" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_substring_search_equals_a_scan(spark, tmp_path):
     texts = ["New York", "newyork", None, "", "ab", "aaaa", "a.b%c_d", "Ünïcode ÜN", "york new", "aab aaa", "x" * 5000 + "needle"]
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
