@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import quopri
 import zipfile
 from collections.abc import Iterator
 
@@ -76,9 +75,12 @@ def vtt_segments(documents: DataFrame, id_: str = "source_id", text: str = "text
     return c.select(id_, F.row_number().over(order).alias("seq"), "start_ms", "end_ms", F.coalesce("speaker", carried).alias("speaker"), F.col("payload").alias("text"))
 
 
-@F.pandas_udf(T.StringType())
-def _quoted_printable(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: None if b is None else quopri.decodestring(b.encode("utf-8", "replace")).decode("utf-8", "replace"))
+def quoted_printable(body: str) -> Column:
+    """Text of a quoted-printable body in UTF-8: escapes rewritten as those of a URL, in which two equal signs stand for one (as
+    Python's decoder has it), soft line breaks and an escape cut off at the end go, and whatever is no escape stays."""
+    text = F.replace(F.replace(F.col(body), F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))
+    text = F.regexp_replace(F.replace(text, F.lit("=="), F.lit("%3D")), "=([0-9A-Fa-f]{2})", "%$1")
+    return F.url_decode(F.regexp_replace(text, r"=(?:\n|\z)", ""))
 
 
 def mail(documents: DataFrame, id_: str = "source_id", text: str = "text") -> DataFrame:
@@ -90,7 +92,7 @@ def mail(documents: DataFrame, id_: str = "source_id", text: str = "text") -> Da
     header = lambda name: F.trim(F.regexp_extract("head", rf"(?im)^{name}:\s*(.*)$", 1))
     code = F.lower(header("Content-Transfer-Encoding"))
     base = F.decode(F.try_to_binary(F.regexp_replace("raw", r"\s", ""), F.lit("base64")), "UTF-8")
-    body = F.when(code == "base64", base).when(code == "quoted-printable", _quoted_printable("raw")).otherwise(F.col("raw"))
+    body = F.when(code == "base64", base).when(code == "quoted-printable", quoted_printable("raw")).otherwise(F.col("raw"))
     html = F.lower(header("Content-Type")).contains("html")
     d = d.withColumn("body", body)
     return d.select(id_, header("From").alias("sender"), header("Date").alias("sent"), header("Subject").alias("subject"), F.when(html, strip_markup("body")).otherwise(F.trim("body")).alias("body"))
