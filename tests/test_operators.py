@@ -466,3 +466,27 @@ def test_places_in_groups(spark):
     for g in "ab":
         want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
         assert [got[r[1]] for r in want] == list(range(1, len(want) + 1))
+
+
+def test_rows_that_meet_many_blocks_are_shuffled_once(spark, monkeypatch):
+    """A dozen blocks meet each other; what is shuffled after them are the meetings, not the rows again for each."""
+    monkeypatch.setattr(similarity, "SMALL", 50)
+    monkeypatch.setattr(similarity, "BLOCK", 50)
+    monkeypatch.setattr(similarity, "GIVEN", 7)
+    draw = random.Random(9)
+    sets = [("a b/ü", i, sorted(draw.sample("abcdefghijkl", 6))) for i in range(100)]
+    pairs = similarity.dice_pairs(spark.createDataFrame(sets, "project_id string, row_id long, tokens array<string>"), 0.8)
+    got = {(r.left_id, r.right_id, r.shared) for r in pairs.collect()}
+    assert got == {(i, j, len(set(a) & set(b))) for (_, i, a), (_, j, b) in itertools.combinations(sets, 2) if len(set(a) & set(b)) >= 5}
+    assert pairs.select("block_b").distinct().count() > 10
+    read = pairs._jdf.queryExecution().optimizedPlan().children().head()  # all that the pairs are made of
+    assert "tokens" not in read.toString()
+
+
+def test_a_weak_token_alone_does_not_link(spark, tmp_path):
+    """Titles alike only in what a quarter of the rows hold are no pair, whether near or equal."""
+    texts = ["alpha beta gamma delta"] * 2 + ["alpha beta gamma epsilon"] + ["alpha beta gamma"] * 2 + [f"word{i}x solo{i}y" for i in range(8)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from regista.plans import analytics
+
+    assert {(r.left_id, r.right_id) for r in analytics.lexical(spark, str(tmp_path)).collect()} == {(0, 1)}
