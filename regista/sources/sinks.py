@@ -46,8 +46,7 @@ class Snapshots:
         for name, table in tables.items():
             path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             if by in table.columns:
-                other = next(c for c in table.columns if c != by)
-                table.repartition(by, other).write.partitionBy(by).parquet(path)
+                table.write.partitionBy(by).parquet(path)  # each task has rows of all projects either way
             else:
                 table.write.parquet(path)
             held[name] = {"path": path, "schema": table.schema.jsonValue()}
