@@ -490,3 +490,41 @@ def test_a_weak_token_alone_does_not_link(spark, tmp_path):
     from regista.plans import analytics
 
     assert {(r.left_id, r.right_id) for r in analytics.lexical(spark, str(tmp_path)).collect()} == {(0, 1)}
+
+
+def test_an_inbox_passes_no_key_through_python_and_gives_first_files_once(spark, tmp_path):
+    """Three batches with a hash again in a later one under a lesser path; a run again from the checkpoint gives nothing new."""
+    box = f"{tmp_path}/box"
+    table = lambda rows: spark.createDataFrame(rows, "hash string, path string, kind string, length long").coalesce(1)
+    table([("a", "p3", "txt", 1), ("a", "p2", "md", 2), ("b", "p9", "txt", 1)]).write.mode("append").parquet(box)
+    stream = lambda: jobs.first_seen(spark.readStream.schema("hash string, path string, kind string, length long").parquet(box))
+    out = jobs.Epochs(spark, f"file://{tmp_path}/out", stream().schema)
+    for more in ([("a", "p1", "txt", 1), ("c", "p0", "txt", 7)], [("c", "p1", "txt", 1), ("b", "p1", "txt", 1)], []):
+        jobs.run(stream(), out.write, f"{tmp_path}/checkpoint", "update")
+        if more:
+            table(more).write.mode("append").parquet(box)
+    assert sorted(out.all().collect()) == [("a", "p2", "md", 2), ("b", "p9", "txt", 1), ("c", "p0", "txt", 7)]
+    assert "InPandas" not in stream()._jdf.queryExecution().analyzed().toString()
+
+
+def test_word_files_leave_a_worker_in_small_pieces(spark, monkeypatch):
+    """Pieces end where they hold the bytes given at a time; nulls, a file that is no zip and an empty batch."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(files, "GIVEN", 10)
+    batch = pa.record_batch({"path": ["a", "b", "c", "d"], "body": ["x" * 6, None, "y" * 6, "z"]})
+    pieces = list(files._each(lambda v: v, "body", "content", pa.string())([batch, batch.slice(0, 0)]))
+    assert [p.to_pydict() for p in pieces] == [{"path": ["a", "b", "c"], "content": ["x" * 6, None, "y" * 6]}, {"path": ["d"], "content": ["z"]}]
+    odd = spark.createDataFrame([("n", None), ("e", ""), ("t", "one <b> & two\nthree")], "source_id string, text string")
+    assert sorted((r.path, r.k, r.text) for r in files.docx_segments(files.docx_files(odd)).collect()) == [("t.docx", 0, "one <b> & two"), ("t.docx", 1, "three")]
+    assert files.docx_xml(spark.createDataFrame([("x", b"PK no zip")], "path string, content binary")).collect() == [("x", None)]
+
+
+def test_a_snapshot_does_not_deal_out_its_rows_again(spark, tmp_path):
+    """Committing a table partitioned by project has no shuffle of its own."""
+    store = sinks.Snapshots(spark, f"file://{tmp_path}")
+    tracker, before = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    version = store.commit({"rows": spark.range(100).selectExpr("id % 3 AS project_id", "id")})
+    jobs_ = range(before, spark.sparkContext._jsc.sc().dagScheduler().nextJobId())
+    assert all(len(tracker.getJobInfo(j).stageIds) == 1 for j in jobs_)
+    assert store.read("rows", version).groupBy("project_id").count().orderBy("project_id").collect() == [(0, 34), (1, 33), (2, 33)]
