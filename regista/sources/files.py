@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,37 +108,51 @@ def mail_segments(documents: DataFrame, id_: str = "source_id", text: str = "tex
 def docx_files(documents: DataFrame, id_: str = "source_id", text: str = "text") -> DataFrame:
     """(path, content): texts as Word files, a paragraph for each line, the first one a heading."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
-        for batch in batches:
-            out = []
-            for body in batch.body:
-                lines = [x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") for x in (body or "").split("\n")]
-                paragraphs = "".join(f"<w:p>{'' if i else style}<w:r><w:t>{x}</w:t></w:r></w:p>" for i, x in enumerate(lines))
-                file = io.BytesIO()
-                with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("word/document.xml", f"<w:document>{paragraphs}</w:document>")
-                out.append(file.getvalue())
-            yield pd.DataFrame({"path": batch.path, "content": out})
+    style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
+
+    def packed(body: str | None) -> bytes:
+        lines = [x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") for x in (body or "").split("\n")]
+        paragraphs = "".join(f"<w:p>{'' if i else style}<w:r><w:t>{x}</w:t></w:r></w:p>" for i, x in enumerate(lines))
+        file = io.BytesIO()
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f"<w:document>{paragraphs}</w:document>")
+        return file.getvalue()
 
     named = documents.select(F.concat(F.col(id_).cast("string"), F.lit(".docx")).alias("path"), F.col(text).alias("body"))
-    return named.mapInPandas(run, "path string, content binary")
+    return named.mapInArrow(_each(packed, "body", "content", pa.binary()), "path string, content binary")
+
+
+#: Bytes that a Python worker of file contents gives at a time.
+GIVEN = 4 << 20
+
+
+def _each(function: Callable, source: str, target: str, kind: pa.DataType) -> Callable:
+    """For ``mapInArrow``: (path, target) with ``function`` of each value of ``source``. Values are made one at a time and given on
+    as soon as they hold ``GIVEN`` bytes, so a worker holds the batch it was sent and little else, however many rows it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, out, size, begin = batch.column("path"), [], 0, 0
+            for k, value in enumerate(batch.column(source)):
+                out.append(function(value.as_py()))
+                size += len(out[-1] or "")
+                if size >= GIVEN or k + 1 == batch.num_rows:
+                    yield pa.record_batch([paths.slice(begin, len(out)), pa.array(out, kind)], ["path", target])
+                    out, size, begin = [], 0, k + 1
+
+    return run
 
 
 def docx_xml(files: DataFrame) -> DataFrame:
     """(path, xml): the main part of Word files. Only the unzipping is Python; a file that is no zip has a null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for content in batch.content:
-                try:
-                    out.append(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8", "replace"))
-                except (zipfile.BadZipFile, KeyError):
-                    out.append(None)
-            yield pd.DataFrame({"path": batch.path, "xml": out})
-
-    return files.select("path", "content").mapInPandas(run, "path string, xml string")
+    def unpacked(content: bytes | None) -> str | None:
+        try:
+            return zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8", "replace")
+        except (zipfile.BadZipFile, KeyError):
+            return None
+
+    return files.select("path", "content").mapInArrow(_each(unpacked, "content", "xml", pa.string()), "path string, xml string")
 
 
 def docx_segments(files: DataFrame) -> DataFrame:
