@@ -9,7 +9,6 @@ from regista.operators.ranking import placed
 from regista.operators.substring import SubstringIndex
 from regista.plans import state, views
 from regista.plans.registry import query
-from regista.plans.store import materialize
 from regista.plans.views import VIEW_SQL
 
 AS_OF = state.AS_OF
@@ -134,8 +133,8 @@ FROM v_searched WHERE contains(haystack, '{TERM}') AND status = '{STATUS}'""")
 def register_search(spark, sf):
     """Rows that hold a text in any of six fields, case aside, by their postings; of one status, and their place by the sort key
     in their register."""
-    rows = materialize(searched(spark, sf), "searched")
-    found = rows.join(SubstringIndex(rows, ["external_id"], "haystack").search(TERM), "external_id", "left_semi").where(F.col("status") == STATUS)
+    index = SubstringIndex(searched(spark, sf), ["register_name", "external_id", "title", "status", "due_date"], "haystack")
+    found = index.search(TERM).where(F.col("status") == STATUS)
     key = {"id": "external_id", "title": "title", "status": "status"}[SORT]
     out = placed(found, ["register_name"], [F.col(key), F.col("external_id")], "place")
     return out.select("register_name", "external_id", "title", "status", "due_date", F.col("place").cast("long").alias("place"))

@@ -8,6 +8,7 @@ import random
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -376,6 +377,36 @@ def test_substring_search_equals_a_scan(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 
+def test_postings_of_substrings_are_lists_by_blocks_of_rows(spark):
+    """One row for each trigram of each text is shuffled and sorted no more: the rows of postings do not grow with the texts."""
+    rows = spark.range(0, 70_000, 1, 3).selectExpr("id % 7 AS k", "concat('Order ', id, if(id % 5 = 0, ' Machinery', ' Building')) AS t")
+    index = substring.SubstringIndex(rows, ["k"], "t")
+    assert index.postings("building").count() < 200
+    texts = [(k % 7, f"order {k} {'building' if k % 5 else 'machinery'}") for k in range(70_000)]
+    for term in ("7 Machinery", "order", "r 69999 b", "der 123", "9 building x", "buildinger"):
+        assert sorted(r.k for r in index.search(term).collect()) == sorted(k for k, t in texts if term.lower() in t), term
+
+
+def test_substring_index_of_no_rows(spark):
+    for rows in (spark.createDataFrame([], "k long, t string"), spark.createDataFrame([(1, None), (2, "ab")], "k long, t string")):
+        index = substring.SubstringIndex(rows, ["k"], "t")
+        assert index.search("abc").collect() == []
+        assert sorted(r.k for r in index.search("ab").collect()) == sorted(r.k for r in rows.where("t = 'ab'").collect())
+
+
+def test_postings_of_a_stretch(monkeypatch):
+    """Texts cut into parts lose no trigram; those of other planes and with broken bytes neither."""
+    texts = ["new york", "", "ab", "abc", "aaaa" * 9, "\U0001f600\U0001f601\U0010ffff\U0001f600", "ünï\x00code", "x" * 40 + "needle"]
+    ids = [(k << 33) + 32_766 + k % 4 for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids + [5]), pa.array([t.encode() for t in texts] + [b"\xffneed"])], ["__row", "__text"])
+    want = {(t[k : k + 3], i) for i, t in zip(ids, texts) for k in range(len(t) - 2)} | {("\ufffdne", 5), ("nee", 5), ("eed", 5)}
+    for stretch in (1, 7, 1 << 20):
+        monkeypatch.setattr(substring, "STRETCH", stretch)
+        rows = [r for out in substring._postings([batch]) for r in out.to_pylist()]
+        assert {(r["gram"], (r["block"] << substring.PLACE_BITS) + p) for r in rows for p in r["places"]} == want
+    assert len(rows) == len({(r["gram"], r["block"]) for r in rows}) and all(r["places"] == sorted(set(r["places"])) for r in rows)
+
+
 def by_loop(sizes, target, overlap):
     """Windows (first, last, tokens), from 0, by the rule as it is said."""
     start, out = 0, []
