@@ -539,6 +539,35 @@ def test_a_weak_token_alone_does_not_link(spark, tmp_path):
     assert {(r.left_id, r.right_id) for r in analytics.lexical(spark, str(tmp_path)).collect()} == {(0, 1)}
 
 
+def test_copies_are_in_all_pairs_links_and_matches(spark, tmp_path, monkeypatch):
+    """Rows that repeat a text are paired, linked and matched like any other row, also where their group is dealt over chunks."""
+    from regista.plans import analytics
+
+    monkeypatch.setattr(similarity, "MEMBERS", 2)
+    texts = ["alpha beta gamma delta"] * 9 + ["alpha beta gamma epsilon"] * 3 + [f"word{i}x solo{i}y" for i in range(60)]
+    spark.createDataFrame([(7 * i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    alike = range(12)
+    of = {7 * i: set(texts[i].split()) for i in alike}
+    links = [(r.left_id, r.right_id, r.shared) for r in analytics.lexical_edges(spark, str(tmp_path)).collect()]
+    assert sorted(links) == sorted((7 * i, 7 * j, len(of[7 * i] & of[7 * j])) for i, j in itertools.combinations(alike, 2))
+    want = {(a, b) for a in of for b in of if a % 2 == 0 and b % 2 == 1}
+    for query in (grading.pair_evidence, grading.acceptable_pairs):
+        pairs = [(r.left_id, r.right_id) for r in query(spark, str(tmp_path)).collect()]
+        assert len(pairs) == len(want) and set(pairs) == want
+    got = grading.row_matching(spark, str(tmp_path)).collect()
+    assert len({r.left_id for r in got}) == len({r.right_id for r in got}) == len(got) == 6
+
+
+def test_accepted_pairs_are_those_of_the_whole_evidence(spark):
+    """Aligned rows below 0.45 meet by their ids, the others by their tokens; both are in the evidence from 0.35 on."""
+    draw = random.Random(8)
+    rows = [("x", i, i % 2, sorted(draw.sample("abcdefghijklmnop", draw.randrange(2, 9))), "s") for i in range(120)]
+    g = spark.createDataFrame(rows, "project_id string, row_id long, side int, toks array<string>, source string")
+    pairs = lambda df: sorted((r.left_id, r.right_id, round(r.quality, 9)) for r in df.collect())
+    want = pairs(grading.acceptable(grading.pair_facts(g)))
+    assert pairs(grading.accepted(g)) == want and any(q < 0.4 + 0.45 and a // 10 == b // 10 for a, b, q in want)
+
+
 def test_an_inbox_passes_no_key_through_python_and_gives_first_files_once(spark, tmp_path):
     """Three batches with a hash again in a later one under a lesser path; a run again from the checkpoint gives nothing new."""
     box = f"{tmp_path}/box"
