@@ -539,6 +539,22 @@ def test_a_weak_token_alone_does_not_link(spark, tmp_path):
     assert {(r.left_id, r.right_id) for r in analytics.lexical(spark, str(tmp_path)).collect()} == {(0, 1)}
 
 
+@pytest.mark.parametrize("dense", [0.0, 0.05, 2.0])
+def test_shared_tokens_are_counted_by_columns_and_by_postings(dense, monkeypatch):
+    """Two blocks and one with itself against brute force, with all tokens in a matrix, some and none, in small stretches; no
+    pair is counted token by token, so the work does not follow the candidates."""
+    for name, value in (("HIGH", 3), ("WIDE", 5), ("PLACES", 7), ("DENSE", dense)):
+        monkeypatch.setattr(similarity, name, value)
+    draw = random.Random(11)
+    sets = [draw.sample(range(30), draw.randrange(1, 20)) + [99] * (k % 3 == 0) for k in range(50)]
+    ids, n, values = np.arange(50) * 3, np.array([len(s) for s in sets]), np.array([t for s in sets for t in s], dtype=np.int64)
+    for left in (np.ones(50, dtype=bool), np.arange(50) < 20):
+        for t in (0.35, 0.6, 1.0):
+            got = sorted((*sorted((int(a), int(b))), int(s)) for x, y, z in similarity._similar(ids, n, values, left, t) for a, b, s in zip(x, y, z))
+            both = ((a, b, len(set(sets[a]) & set(sets[b]))) for a, b in itertools.combinations(range(50), 2) if left.all() or left[a] != left[b])
+            assert got == sorted((a, b, s) for a, b, s in both if 2 * s >= t * (len(sets[a]) + len(sets[b])) - 1e-9)
+
+
 def test_copies_are_in_all_pairs_links_and_matches(spark, tmp_path, monkeypatch):
     """Rows that repeat a text are paired, linked and matched like any other row, also where their group is dealt over chunks."""
     from regista.plans import analytics
